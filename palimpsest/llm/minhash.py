@@ -29,7 +29,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(t + "w", F.transform(words, lambda w: F.xxhash64(w)))
     w = F.col(t + "w")
     shingles = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
-    df = df.withColumn(t + "h", F.array_sort(F.when(F.size(w) >= SHINGLE, shingles).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))))
+    df = df.withColumn(t + "h", F.sort_array(F.when(F.size(w) >= SHINGLE, shingles).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))))
     h = F.col(t + "h")
     # A signed shift keeps the bins in the order of the sorted hashes.
     bin_of = lambda x: F.shiftright(x, 64 - BINS_LOG2)
