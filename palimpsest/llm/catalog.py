@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid, maxent, minhash, mixing, packing, simhash, urls
+from palimpsest.llm import html, langid, maxent, minhash, mixing, neighbours, packing, simhash, tokencounts, urls
 from palimpsest.llm.common import remainder, table
 
 
@@ -38,6 +38,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokencounts.token_counts(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -46,6 +51,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 MIXING_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -83,8 +96,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_urls": op3_urls,
         "op4_language_id": op4_language_id,
         "op5_minhash": op5_minhash,
+        "op6_token_counts": op6_token_counts,
         "op7_mixing": op7_mixing,
         "op8_packing": op8_packing,
+        "op9_neighbours": op9_neighbours,
+        "op10_main_text": op10_main_text,
     }
 
 
