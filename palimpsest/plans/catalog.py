@@ -1,24 +1,402 @@
-"""Named queries over the driver tables and the same queries in SQL."""
+"""Named queries over the driver tables and the same queries in SQL.
+
+The events table is the change log: key user_id, timestamp event_id + 1, and an error event deletes the key.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import scalars
+from palimpsest.operators import bounds, compaction, merge, occ, probe, resolve, writes
+from palimpsest.operators.bounds import excluded, included
+from palimpsest.operators.versions import events_log, latest_ts
+from palimpsest.session import scratch
+from palimpsest.sources import commands
+from palimpsest.streaming import upsert
 
-from palimpsest.operators import resolve
-from palimpsest.operators.versions import events_log
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 KV = "kv AS (SELECT user_id AS k, event_id + 1 AS ts, CASE WHEN event_type <> 'error' THEN event_type END AS v FROM events)"
+HALF, SIXTY = "(SELECT max(ts) // 2 FROM kv)", "(SELECT max(ts) * 6 // 10 FROM kv)"
+
+
+def newest_sql(rows: str, keep: str = "v IS NOT NULL") -> str:
+    return f"SELECT k, ts, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC) AS rn FROM ({rows})) WHERE rn = 1 AND {keep}"
+
+
+def query(sql: str | None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def get_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("k"), F.lit(1).cast("long").alias("ts"), F.col("o_orderstatus").alias("v"), F.floor(F.col("o_orderkey") / 1000).alias("run_id"))
+
+
+# --- reads ---
+
+
+@query(f"WITH {KV} {newest_sql('SELECT * FROM kv')}")
+def get_latest(spark, sf_dir):
     return resolve.snapshot(events_log(spark, sf_dir))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"get_latest": get_latest}
+@query(_SQL["get_latest"])
+def get_latest_by_window(spark, sf_dir):
+    return resolve.newest_by_window(events_log(spark, sf_dir)).filter("v is not null").select("k", "ts", "v")
+
+
+@query(f"WITH {KV} {newest_sql(f'SELECT * FROM kv WHERE ts <= {HALF}')}")
+def get_at_ts(spark, sf_dir):
+    at = latest_ts(events_log(spark, sf_dir)) // 2
+    return resolve.snapshot(events_log(spark, sf_dir, read_ts=at))
+
+
+@query(f"WITH {KV} {newest_sql('SELECT * FROM kv WHERE k = 7')}")
+def get_point_hit(spark, sf_dir):
+    return resolve.get(events_log(spark, sf_dir), 7)
+
+
+@query(f"WITH {KV} {newest_sql('SELECT * FROM kv WHERE k = -1')}")
+def get_point_miss(spark, sf_dir):
+    return resolve.get(events_log(spark, sf_dir), -1)
+
+
+@query(f"WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}) SELECT c.c_custkey AS k, coalesce(s.v, 'key not found') AS message FROM customer c LEFT JOIN s ON s.k = c.c_custkey")
+def multi_get(spark, sf_dir):
+    asked = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    found = asked.join(resolve.snapshot(events_log(spark, sf_dir)).select("k", "v"), "k", "left")
+    return found.select("k", F.coalesce("v", F.lit("key not found")).alias("message"))
+
+
+def _scan(name: str, low, high, where: str, read_half: bool = False) -> None:
+    def f(spark, sf_dir):
+        at = latest_ts(events_log(spark, sf_dir)) // 2 if read_half else None
+        return bounds.scan(events_log(spark, sf_dir, read_ts=at), low, high)
+
+    f.__name__ = name
+    also = f" AND ts <= {HALF}" if read_half else ""
+    query(f"WITH {KV} {newest_sql(f'SELECT * FROM kv WHERE {where}{also}')}")(f)
+
+
+_scan("scan_ii", included(2), included(9), "k >= 2 AND k <= 9")
+_scan("scan_ie", included(2), excluded(9), "k >= 2 AND k < 9")
+_scan("scan_ei", excluded(2), included(9), "k > 2 AND k <= 9")
+_scan("scan_ee", excluded(2), excluded(9), "k > 2 AND k < 9")
+_scan("scan_unbounded", bounds.OPEN, bounds.OPEN, "true")
+_scan("scan_from", excluded(2), bounds.OPEN, "k > 2")
+_scan("scan_to", bounds.OPEN, included(9), "k <= 9")
+_scan("scan_empty", included(9), excluded(2), "k >= 9 AND k < 2")
+_scan("scan_at_ts", excluded(2), included(40), "k > 2 AND k <= 40", read_half=True)
+
+
+@query("SELECT url AS k, page_id AS v FROM pages WHERE starts_with(url, 'https://m.')")
+def scan_prefix(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages").select(F.col("url").alias("k"), F.lit(1).cast("long").alias("ts"), F.col("page_id").alias("v"))
+    return bounds.scan(p, *bounds.prefix_bounds("https://m.")).select("k", "v")
+
+
+@query("SELECT run_id, target, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey // 1000 = run_id AND o_orderkey >= target) AS found FROM (SELECT DISTINCT o_orderkey // 1000 AS run_id, unnest([o_orderkey // 1000 * 1000 - 1, o_orderkey // 1000 * 1000 + 137, o_orderkey // 1000 * 1000 + 999, o_orderkey // 1000 * 1000 + 1000]) AS target FROM orders)")
+def seek_in_runs(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    at = F.explode(F.array(*(F.col("run_id") * 1000 + d for d in (-1, 137, 999, 1000)))).alias("target")
+    return merge.seek(o, o.select("run_id").distinct().select("run_id", at))
+
+
+# --- writes ---
+
+_NEXT = "(SELECT max(ts) + 1 FROM kv)"
+
+
+@query(f"WITH {KV} {newest_sql(f'SELECT * FROM kv UNION ALL SELECT s_suppkey, {_NEXT}, s_name FROM supplier')}")
+def put_overwrite(spark, sf_dir):
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    return resolve.snapshot(writes.put(events_log(spark, sf_dir), rows))
+
+
+@query(f"WITH {KV} {newest_sql(f'SELECT * FROM kv UNION ALL SELECT s_suppkey, {_NEXT}, NULL FROM supplier WHERE s_suppkey % 3 = 0')}")
+def delete_key(spark, sf_dir):
+    keys = _table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("k"))
+    return resolve.snapshot(writes.delete(events_log(spark, sf_dir), keys))
+
+
+@query(_SQL["get_latest"])
+def delete_missing(spark, sf_dir):
+    keys = _table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("k"))
+    return resolve.snapshot(writes.delete(events_log(spark, sf_dir), keys))
+
+
+_BATCH = "SELECT c_custkey % 100 AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS v, row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey DESC) AS n FROM customer"
+
+
+@query(f"WITH {KV} {newest_sql(f'SELECT * FROM kv UNION ALL SELECT k, {_NEXT}, v FROM ({_BATCH}) WHERE n = 1')}")
+def write_batch(spark, sf_dir):
+    c = F.col("c_custkey")
+    ops = _table(spark, sf_dir, "customer").select(c.alias("seq"), F.when(c % 3 != 0, "put").otherwise("del").alias("op"), (c % 100).alias("k"), F.col("c_mktsegment").alias("v"))
+    return resolve.snapshot(writes.write_batch(events_log(spark, sf_dir), ops))
+
+
+@query("SELECT event_id, coalesce(sum(b) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 4096 AS run_id FROM (SELECT event_id, strlen(CAST(user_id AS VARCHAR)) + strlen(event_type) + 8 AS b FROM events)")
+def freeze_assign(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), F.col("event_type").alias("v"))
+    return writes.assign_runs(e, 4096, order="event_id").select("event_id", "run_id")
+
+
+# --- merges ---
+
+
+@query("SELECT k, arg_min(src, p) AS src FROM (SELECT c_custkey AS k, 'customer' AS src, 0 AS p FROM customer UNION ALL SELECT o_orderkey, 'orders', 1 FROM orders UNION ALL SELECT s_suppkey, 'supplier', 2 FROM supplier) GROUP BY k")
+def merge_k_priority(spark, sf_dir):
+    runs = [_table(spark, sf_dir, t).select(F.col(c).alias("k"), F.lit(t).alias("src")) for t, c in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("supplier", "s_suppkey"))]
+    return merge.merge_runs(runs, ["k"])
+
+
+@query("SELECT coalesce(s_suppkey, c_custkey) AS k, coalesce(s_name, c_name) AS v FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+def merge_two_priority(spark, sf_dir):
+    first = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    second = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    return merge.merge_two(first, second, ["k"])
+
+
+_STATS = "SELECT o_orderkey // 1000 AS run_id, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, 1::BIGINT AS max_ts, count(*) AS n_rows FROM orders GROUP BY 1"
+
+
+@query(f"SELECT *, coalesce(lag(last_key) OVER (ORDER BY first_key, last_key) < first_key, true) AS disjoint FROM ({_STATS})")
+def concat_disjoint(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    both = merge.concat([o.filter("run_id % 2 = 0"), o.filter("run_id % 2 = 1")])
+    return merge.disjointness(merge.run_stats(both))
+
+
+@query(f"WITH {KV} SELECT (ts - 1) // 500 AS run_id, min(k) AS first_key, max(k) AS last_key, max(ts) AS max_ts, count(*) AS n_rows FROM kv GROUP BY 1")
+def run_stats(spark, sf_dir):
+    return merge.run_stats(events_log(spark, sf_dir).withColumn("run_id", F.floor((F.col("ts") - 1) / 500)))
+
+
+@query(f"SELECT run_id, first_key, last_key FROM ({_STATS}) WHERE last_key > 999 AND first_key <= 3200")
+def prune_runs(spark, sf_dir):
+    return bounds.overlapping(merge.run_stats(_orders(spark, sf_dir)), excluded(999), included(3200)).select("run_id", "first_key", "last_key")
+
+
+@query("SELECT count(*) AS present, 0::BIGINT AS missed FROM orders")
+def bloom_probe(spark, sf_dir):
+    keys = _orders(spark, sf_dir).select("run_id", "k")
+    kept = probe.maybe_present(probe.build(keys), keys)
+    return keys.join(kept.withColumn("hit", F.lit(1)), ["run_id", "k"], "left").agg(F.count("*").alias("present"), F.count(F.when(F.col("hit").isNull(), 1)).alias("missed"))
+
+
+# --- compaction ---
+
+
+@query(f"WITH {KV} SELECT k, ts, v FROM kv WHERE ts > {SIXTY} UNION ALL {newest_sql(f'SELECT * FROM kv WHERE ts <= {SIXTY}')}")
+def compact_intended(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return compaction.collect_garbage(log, latest_ts(log) * 6 // 10)
+
+
+@query(f"""WITH {KV}, w AS (SELECT max(ts) * 6 // 10 AS w FROM kv), a AS (SELECT kv.*, w.w, row_number() OVER (PARTITION BY k ORDER BY ts DESC) AS rn FROM kv, w),
+b AS (SELECT *, row_number() OVER (PARTITION BY k, (ts <= w AND rn > 1) ORDER BY ts DESC) AS rb, max(CASE WHEN rn = 1 AND v IS NULL AND ts <= w THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS dead FROM a)
+SELECT k, ts, v FROM b WHERE dead = 0 AND (ts > w OR rn = 1 OR rb = 1)""")
+def compact_lazily(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return compaction.collect_garbage_lazily(log, latest_ts(log) * 6 // 10)
+
+
+@query(f"WITH {KV} SELECT k, ts FROM ({newest_sql('SELECT * FROM kv', 'v IS NULL')})")
+def tombstone_only_keys(spark, sf_dir):
+    return resolve.newest(events_log(spark, sf_dir)).filter("v is null").select("k", "ts")
+
+
+@query("SELECT 0::BIGINT AS differences")
+def read_equivalence(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    newest = latest_ts(log)
+    mark, out = newest * 6 // 10, None
+    kept = compaction.collect_garbage(log, mark)
+    for at in (mark, newest * 8 // 10, newest):
+        a, b = resolve.snapshot(log, at), resolve.snapshot(kept, at)
+        d = a.exceptAll(b).unionByName(b.exceptAll(a))
+        out = d if out is None else out.unionByName(d)
+    return out.agg(F.count("*").alias("differences"))
+
+
+_LEVELS = "SELECT n_regionkey AS level, count(*)::BIGINT * 10 // (1 + n_regionkey * n_regionkey * 3) AS files FROM nation GROUP BY 1"
+
+
+def _levels(spark, sf_dir) -> DataFrame:
+    r = F.col("level").cast("long")
+    return _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("level")).agg(F.count("*").alias("n")).select("level", F.floor(F.col("n") * 10 / (1 + r * r * 3)).cast("long").alias("files"))
+
+
+@query(f"""WITH l AS ({_LEVELS}), r AS (SELECT *, lead(files) OVER (ORDER BY level) AS nxt FROM l)
+SELECT min(level)::INTEGER AS upper, (min(level) + 1)::INTEGER AS lower, min(level) + 1 = 4 AS bottom FROM r WHERE level < 4 AND (level > 0 OR files >= 10) AND files > 0 AND nxt::DOUBLE / files < 0.3 HAVING min(level) IS NOT NULL""")
+def compaction_pick(spark, sf_dir):
+    return compaction.pick(_levels(spark, sf_dir), compaction.Options(size_ratio_percent=30, level0_trigger=10, max_levels=4))
+
+
+@query(f"WITH l AS ({_LEVELS}) SELECT (sum(files) - arg_max(files, level))::DOUBLE / nullif(arg_max(files, level), 0) * 100 AS percent FROM l")
+def space_amp(spark, sf_dir):
+    return compaction.space_amplification(_levels(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS run_id, p_size % 5 AS level FROM part WHERE p_size % 5 NOT IN (1, 2) UNION ALL SELECT p_partkey + 1000000, 2 FROM part WHERE p_size % 5 = 1")
+def compaction_apply(spark, sf_dir):
+    runs = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"), (F.col("p_size") % 5).alias("level"))
+    made = runs.filter("level = 1").select((F.col("run_id") + 1000000).alias("run_id"), F.lit(2).alias("level"))
+    return compaction.apply_compaction(runs, runs.filter("level in (1, 2)"), made)
+
+
+@query("SELECT DISTINCT o_orderkey AS run_id FROM orders EXCEPT SELECT o_custkey FROM orders")
+def manifest_replay(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    records = o.select(F.lit("flush").alias("kind"), F.col("o_orderkey").alias("run_id")).unionByName(o.select(F.lit("input").alias("kind"), F.col("o_custkey").alias("run_id")))
+    return compaction.replay(records)
+
+
+# --- transactions ---
+
+
+def _history(spark, sf_dir) -> DataFrame:
+    """Each event as a transaction that read its key ``read_ts`` commits ago."""
+    return events_log(spark, sf_dir)
+
+
+@query(f"WITH {KV} SELECT a.ts AS txn, a.k FROM kv a WHERE EXISTS (SELECT 1 FROM kv b WHERE b.k = a.k AND b.ts > a.ts - 5 AND b.ts < a.ts)")
+def occ_conflicts(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    reads = h.select(F.col("ts").alias("txn"), "k", (F.col("ts") - 5).alias("read_ts"), F.col("ts").alias("end_ts"))
+    return occ.conflicts(reads, h.select("k", F.col("ts").alias("commit_ts"))).select("txn", "k")
+
+
+@query(f"WITH {KV} SELECT a.ts AS txn, a.k + 1 AS k FROM kv a WHERE EXISTS (SELECT 1 FROM kv b WHERE b.k = a.k + 1 AND b.ts > a.ts - 20 AND b.ts < a.ts)")
+def occ_conflicts_cross(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    reads = h.select(F.col("ts").alias("txn"), (F.col("k") + 1).alias("k"), (F.col("ts") - 20).alias("read_ts"), F.col("ts").alias("end_ts"))
+    return occ.conflicts(reads, h.select("k", F.col("ts").alias("commit_ts"))).select("txn", "k")
+
+
+def _aborted(spark, sf_dir, reads, writes_) -> DataFrame:
+    h = _history(spark, sf_dir)
+    reads = h.filter(reads).select(F.col("ts").alias("txn"), "k", (F.col("ts") - 20).alias("read_ts"), F.col("ts").alias("end_ts"))
+    txns = h.select(F.col("ts").alias("txn"))
+    return occ.aborted(txns, reads, h.filter(writes_).select(F.col("ts").alias("txn")), h.select("k", F.col("ts").alias("commit_ts"))).agg(F.count("*").alias("aborted"))
+
+
+@query("SELECT 0::BIGINT AS aborted")
+def occ_readonly_ok(spark, sf_dir):
+    return _aborted(spark, sf_dir, F.lit(True), F.lit(False))
+
+
+@query("SELECT 0::BIGINT AS aborted")
+def blind_write_ok(spark, sf_dir):
+    return _aborted(spark, sf_dir, F.lit(False), F.lit(True))
+
+
+@query(f"WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}), l AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS v FROM supplier) SELECT k, v FROM (SELECT k, v FROM l UNION ALL SELECT k, v FROM s WHERE k NOT IN (SELECT k FROM l)) WHERE v IS NOT NULL")
+def txn_read_your_writes(spark, sf_dir):
+    local = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_name")).alias("v"))
+    return occ.read_in_txn(local, resolve.snapshot(events_log(spark, sf_dir)))
+
+
+@query("SELECT min(ts) AS watermark FROM (SELECT o_custkey AS ts, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) AS n FROM orders GROUP BY 1) WHERE n > 0")
+def watermark_active_readers(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    return occ.watermark(o.select(F.col("o_custkey").alias("ts"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("delta")))
+
+
+@query(f"WITH {KV} SELECT ts AS commit_ts, k FROM kv WHERE ts >= {SIXTY}")
+def committed_gc(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    return occ.forget_commits(h.select(F.col("ts").alias("commit_ts"), "k"), latest_ts(h) * 6 // 10)
+
+
+@query(f"WITH {KV} SELECT k, ts, lead(ts) OVER (PARTITION BY k ORDER BY ts) AS next_ts FROM kv")
+def version_history(spark, sf_dir):
+    return occ.next_commit(events_log(spark, sf_dir)).select("k", "ts", "next_ts")
+
+
+# --- commands ---
+
+_LINES = "SELECT o_orderkey AS seq, CASE o_orderkey % 10 WHEN 0 THEN 'get ' || o_custkey WHEN 1 THEN 'set ' || o_custkey || ' ' || o_orderstatus WHEN 2 THEN 'rm ' || o_custkey WHEN 3 THEN ' remove ' || o_custkey || ' ' WHEN 4 THEN 'exit' WHEN 5 THEN '' WHEN 6 THEN 'get  ' || o_custkey WHEN 7 THEN 'set ' || o_custkey WHEN 8 THEN 'get ' || o_custkey % 150 ELSE 'foo ' || o_custkey END AS line FROM orders"
+_PARSED = f"""SELECT seq, CASE WHEN error IS NULL THEN CASE op WHEN 'remove' THEN 'rm' WHEN 'Exit' THEN 'exit' ELSE op END END AS op,
+CASE WHEN error IS NULL AND n > 1 THEN w[2] END AS key, CASE WHEN error IS NULL AND n > 2 THEN w[3] END AS value, error FROM (
+  SELECT *, CASE WHEN op NOT IN ('get', 'set', 'rm', 'remove', 'exit', 'Exit') THEN 'unknown command'
+    WHEN n <> CASE op WHEN 'set' THEN 3 WHEN 'exit' THEN 1 WHEN 'Exit' THEN 1 ELSE 2 END THEN 'wrong number of arguments' END AS error
+  FROM (SELECT seq, w, w[1] AS op, len(w) AS n FROM (SELECT seq, string_split(trim(line), ' ') AS w FROM ({_LINES}))))"""
+
+
+def _parsed(spark, sf_dir) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    c = F.col("o_custkey").cast("string")
+    cases = [F.concat(F.lit("get "), c), F.concat(F.lit("set "), c, F.lit(" "), "o_orderstatus"), F.concat(F.lit("rm "), c), F.concat(F.lit(" remove "), c, F.lit(" ")), F.lit("exit"), F.lit(""), F.concat(F.lit("get  "), c), F.concat(F.lit("set "), c), F.concat(F.lit("get "), (F.col("o_custkey") % 150).cast("string"))]
+    line = F.concat(F.lit("foo "), c)
+    for i, x in enumerate(cases):
+        line = F.when(F.col("o_orderkey") % 10 == i, x).otherwise(line)
+    return o.select(F.col("o_orderkey").alias("seq"), line.alias("line")).select("seq", commands.parse(F.col("line")).alias("c")).select("seq", "c.*")
+
+
+@query(_PARSED)
+def command_parse(spark, sf_dir):
+    return _parsed(spark, sf_dir)
+
+
+@query(f"""WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}) SELECT p.seq, p.op, p.key, CASE WHEN error IS NOT NULL THEN error WHEN op = 'get' THEN coalesce(s.v, 'key not found') WHEN op = 'exit' THEN 'bye' ELSE 'ok' END AS message
+FROM ({_PARSED}) p LEFT JOIN s ON CAST(s.k AS VARCHAR) = p.key""")
+def command_serve(spark, sf_dir):
+    state = resolve.snapshot(events_log(spark, sf_dir)).withColumn("k", F.col("k").cast("string"))
+    return commands.serve(_parsed(spark, sf_dir), state)
+
+
+@query(f"WITH {KV}, b AS (SELECT CAST(key AS BIGINT) AS k, value AS v, op, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM ({_PARSED}) WHERE op IN ('set', 'rm')) {newest_sql(f'SELECT * FROM kv UNION ALL SELECT k, {_NEXT}, v FROM b WHERE n = 1')}")
+def command_apply(spark, sf_dir):
+    ops = commands.mutations(_parsed(spark, sf_dir)).withColumn("k", F.col("k").cast("long"))
+    return resolve.snapshot(writes.write_batch(events_log(spark, sf_dir), ops))
+
+
+@query(f"""WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}) SELECT o_orderkey AS seq, (o_orderkey % 4 + 1)::INTEGER AS code, o_custkey AS key, CASE o_orderkey % 4 + 1 WHEN 1 THEN CASE WHEN s.v IS NULL THEN 2 ELSE 1 END WHEN 4 THEN 3 ELSE 1 END AS result, CASE WHEN o_orderkey % 4 = 0 THEN s.v END AS message FROM orders LEFT JOIN s ON s.k = o_custkey""")
+def rpc_call(spark, sf_dir):
+    r = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("code"), F.col("o_custkey").alias("key"))
+    return commands.call(r, resolve.snapshot(events_log(spark, sf_dir)))
+
+
+# --- functions, streams ---
+
+
+@query(None)  # DuckDB has no CRC-32
+def checksum(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", scalars.checksum(F.col("p_name")).alias("crc"))
+
+
+@query("SELECT p_partkey, strlen(p_name) + strlen(p_brand) AS pair_bytes, (SELECT count(*) FROM range(1, 1 + least(length(p_type), length(p_name))) t(i) WHERE p_type[1:i] = p_name[1:i]) AS shared FROM part")
+def key_functions(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", scalars.pair_bytes(F.col("p_name"), F.col("p_brand")).cast("long").alias("pair_bytes"), scalars.common_prefix(F.col("p_type"), F.col("p_name")).cast("long").alias("shared"))
+
+
+@query(_SQL["get_latest"])
+def stream_upsert_latest(spark, sf_dir):
+    at = scratch(spark, "stream")
+    return upsert.upsert_latest(upsert.events_stream(spark, sf_dir), f"{at}/log", f"{at}/checkpoint")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"get_latest": f"WITH {KV} SELECT k, ts, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC) AS rn FROM kv) WHERE rn = 1 AND v IS NOT NULL"}
+    return dict(_SQL)
