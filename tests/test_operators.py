@@ -1,0 +1,187 @@
+"""Operators on small inputs with known results."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.functions import scalars
+from palimpsest.operators import bounds, compaction, merge, occ, probe, resolve, writes
+from palimpsest.operators.bounds import OPEN, excluded, included
+from palimpsest.sources import commands, runs
+
+LOG = "k string, ts long, v string"
+
+
+def kv(df):
+    return [(r.k, r.v) for r in df.collect()]
+
+
+def log(spark, *rows):
+    return spark.createDataFrame(list(rows), LOG)
+
+
+def test_newest_version_wins_and_tombstones_hide(spark):
+    d = log(spark, ("1", 1, "a"), ("1", 2, None), ("2", 1, "b"), ("2", 3, "c"), ("3", 1, None), ("3", 2, "d"))
+    assert sorted(kv(resolve.snapshot(d))) == [("2", "c"), ("3", "d")]
+    assert sorted(kv(resolve.snapshot(d, 1))) == [("1", "a"), ("2", "b")]
+    assert kv(resolve.snapshot(d, 0)) == []
+    assert sorted(kv(resolve.newest_by_window(d))) == [("1", None), ("2", "c"), ("3", "d")]
+    assert kv(resolve.get(d, "1")) == [] and kv(resolve.get(d, "2", 2)) == [("2", "b")]
+
+
+def test_bounds_hold_at_both_ends_with_many_versions(spark):
+    d = log(spark, ("1", 1, "a"), ("1", 2, "b"), ("2", 3, "c"), ("3", 4, "d"), ("3", 5, "e"))
+    ranges = [(OPEN, OPEN, "123"), (excluded("1"), excluded("3"), "2"), (included("1"), included("2"), "12"), (excluded("3"), OPEN, ""), (OPEN, excluded("1"), ""), (included("4"), included("9"), ""), (included("3"), included("1"), "")]
+    for low, high, want in ranges:
+        assert "".join(k for k, _ in kv(bounds.scan(d, low, high))) == want
+
+
+def test_range_between_keys_of_a_run_is_empty(spark):
+    assert kv(bounds.scan(log(spark, ("0", 1, "a"), ("4", 1, "b")), included("1"), included("2"))) == []
+
+
+def test_keys_are_in_unsigned_byte_order(spark):
+    keys = ["0", "00", "2", "10", "\x7f", "é"]
+    assert [k for k, _ in kv(bounds.scan(log(spark, *((k, 1, "x") for k in keys))))] == sorted(keys, key=lambda k: k.encode())
+
+
+def test_prefix(spark):
+    d = log(spark, ("ab", 1, "1"), ("abc", 1, "2"), ("ac", 1, "3"), ("a", 1, "4"))
+    assert [k for k, _ in kv(bounds.scan(d, *bounds.prefix_bounds("ab")))] == ["ab", "abc"]
+    assert bounds.prefix_bounds("") == (OPEN, OPEN)
+
+
+def test_three_way_merge_by_priority(spark):
+    pair = "k string, v string"
+    one = spark.createDataFrame([("a", "1.1"), ("b", "2.1"), ("c", "3.1"), ("e", None)], pair)
+    two = spark.createDataFrame([("a", "1.2"), ("b", "2.2"), ("c", "3.2"), ("d", "4.2")], pair)
+    three = spark.createDataFrame([("b", "2.3"), ("c", "3.3"), ("d", "4.3")], pair)
+    assert sorted(kv(merge.merge_runs([one, two, three], ["k"]))) == [("a", "1.1"), ("b", "2.1"), ("c", "3.1"), ("d", "4.2"), ("e", None)]
+    assert sorted(kv(merge.merge_runs([three, one, two], ["k"]))) == [("a", "1.1"), ("b", "2.3"), ("c", "3.3"), ("d", "4.3"), ("e", None)]
+    assert sorted(kv(merge.merge_two(one, two, ["k"]))) == [("a", "1.1"), ("b", "2.1"), ("c", "3.1"), ("d", "4.2"), ("e", None)]
+    empty = spark.createDataFrame([], pair)
+    assert len(kv(merge.merge_two(empty, two, ["k"]))) == len(kv(merge.merge_two(two, empty, ["k"]))) == 4
+    assert kv(merge.merge_two(empty, empty, ["k"])) == []
+
+
+def test_seek_and_disjointness(spark):
+    d = spark.createDataFrame([(r, 10 * r + i, 1) for r in range(3) for i in range(0, 10, 3)], "run_id long, k long, ts long")
+    t = spark.createDataFrame([(0, -5), (0, 0), (0, 1), (0, 9), (0, 10), (2, 21)], "run_id long, target long")
+    assert sorted((r.run_id, r.target, r.found) for r in merge.seek(d, t).collect()) == [(0, -5, 0), (0, 0, 0), (0, 1, 3), (0, 9, 9), (0, 10, None), (2, 21, 23)]
+    assert [r.disjoint for r in merge.disjointness(merge.run_stats(d)).collect()] == [True] * 3
+    over = merge.run_stats(d.unionByName(spark.createDataFrame([(7, 5, 1)], d.schema)))
+    assert not all(r.disjoint for r in merge.disjointness(over).collect())
+
+
+def test_batches_take_one_timestamp_and_the_last_operation(spark):
+    d = log(spark, ("1", 1, "a"), ("2", 2, "b"))
+    ops = spark.createDataFrame([(0, "put", "1", "x"), (1, "put", "1", "y"), (2, "put", "2", "z"), (3, "del", "2", None), (4, "del", "9", None)], "seq int, op string, k string, v string")
+    after = writes.write_batch(d, ops)
+    assert kv(resolve.snapshot(after)) == [("1", "y")]
+    assert {r.ts for r in after.filter("ts > 2").collect()} == {3}
+    assert sorted(kv(resolve.snapshot(after, 2))) == [("1", "a"), ("2", "b")]
+
+
+@pytest.mark.parametrize("op", [("put", "", "x"), ("put", "k", ""), ("put", "k", None), ("del", "", None), ("del", None, None), ("add", "k", "x")])
+def test_bad_writes_fail(spark, op):
+    ops = spark.createDataFrame([(0, *op)], "seq int, op string, k string, v string")
+    with pytest.raises(Exception, match="a write needs a key"):
+        writes.write_batch(log(spark, ("1", 1, "a")), ops).collect()
+
+
+def test_garbage_collection_keeps_what_readers_see(spark):
+    rng = random.Random(3)
+    d = log(spark, *((str(rng.randrange(12)), ts, None if rng.random() < 0.3 else str(ts)) for ts in range(1, 200))).cache()
+    for mark in (0, 50, 120, 199):
+        kept, lazy = compaction.collect_garbage(d, mark).cache(), compaction.collect_garbage_lazily(d, mark).cache()
+        assert kept.count() <= lazy.count() <= d.count()
+        for at in range(mark, 200, 37):
+            want = sorted(kv(resolve.snapshot(d, at)))
+            assert sorted(kv(resolve.snapshot(kept, at))) == want == sorted(kv(resolve.snapshot(lazy, at)))
+
+
+def test_tombstones_stay_above_deeper_levels(spark):
+    d = log(spark, ("1", 5, None))
+    assert compaction.collect_garbage(d, 9).count() == 0
+    assert kv(compaction.collect_garbage(d, 9, bottom=False)) == [("1", None)]
+
+
+@pytest.mark.parametrize(
+    ("files", "want"),
+    [([2, 0, 0, 0], (0, 1, False)), ([1, 0, 0, 0], None), ([0, 0, 0, 0], None), ([2, 2, 4, 8], None), ([0, 3, 1, 0], (1, 2, False)), ([0, 0, 3, 1], (2, 3, True))],
+)
+def test_picker(spark, files, want):
+    got = compaction.pick(spark.createDataFrame(list(enumerate(files)), "level int, files int"), compaction.Options(size_ratio_percent=100, level0_trigger=2, max_levels=3)).first()
+    assert (tuple(got) if got else None) == want
+
+
+def test_run_assignment_matches_a_running_sum(spark):
+    rows = [(f"k{i}", i, "v" * (i % 7)) for i in range(500)]
+    d = writes.assign_runs(spark.createDataFrame(rows, LOG), 100, span=64)
+    total, want = 0, {}
+    for k, ts, v in rows:
+        want[ts] = total // 100
+        total += len(k) + len(v) + 8
+    assert {r.ts: r.run_id for r in d.collect()} == want
+
+
+def test_conflicts(spark):
+    commits = spark.createDataFrame([("a", 5), ("b", 7)], "k string, commit_ts long")
+    reads = spark.createDataFrame([("t1", "a", 4, 9), ("t2", "a", 5, 9), ("t3", "b", 4, 7), ("t4", "c", 0, 9), ("t5", "b", 6, 9)], "txn string, k string, read_ts long, end_ts long")
+    assert sorted(r.txn for r in occ.conflicts(reads, commits).collect()) == ["t1", "t5"]
+    txns = reads.select("txn")
+    assert [r.txn for r in occ.aborted(txns, reads, spark.createDataFrame([("t1",), ("t2",)], "txn string"), commits).collect()] == ["t1"]
+
+
+def test_watermark_is_the_oldest_reader(spark):
+    def at(*events):
+        return occ.watermark(spark.createDataFrame(list(events), "ts long, delta int"), 99).first().watermark
+
+    assert at((3, 1), (5, 1)) == 3
+    assert at((3, 1), (5, 1), (3, -1)) == 5
+    assert at((3, 1), (3, -1)) == 99
+    assert at((3, 1), (3, 1), (3, -1)) == 3
+
+
+def test_reads_in_a_transaction(spark):
+    pair = "k string, v string"
+    local, snap = spark.createDataFrame([("1", None), ("2", "mine"), ("4", "new")], pair), spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], pair)
+    assert sorted(kv(occ.read_in_txn(local, snap))) == [("2", "mine"), ("3", "c"), ("4", "new")]
+
+
+def test_bloom_filters_miss_no_key(spark):
+    keys = spark.createDataFrame([(i % 3, f"key{i}") for i in range(300)], "run_id long, k string")
+    filters = probe.build(keys, bits=4096)
+    assert probe.maybe_present(filters, keys, bits=4096).count() == 300
+    others = spark.createDataFrame([(i % 3, f"other{i}") for i in range(300)], "run_id long, k string")
+    assert probe.maybe_present(filters, others, bits=4096).count() < 30
+
+
+def test_command_lines(spark):
+    lines = ["get a", "set a b", "rm a", "remove a", "exit", "Exit", "", "get", "set a", "set a b c", "get  a", "foo", " get a ", None]
+    got = [tuple(r.c) for r in spark.createDataFrame([(x,) for x in lines], "line string").select(commands.parse(F.col("line")).alias("c")).collect()]
+    bad, arity = (None, None, None, "unknown command"), (None, None, None, "wrong number of arguments")
+    assert got == [("get", "a", None, None), ("set", "a", "b", None), ("rm", "a", None, None), ("rm", "a", None, None), ("exit", None, None, None), ("exit", None, None, None), bad, arity, arity, arity, arity, bad, ("get", "a", None, None), bad]
+
+
+def test_calls(spark):
+    state = spark.createDataFrame([("a", "1")], "k string, v string")
+    req = spark.createDataFrame([(1, 1, "a"), (2, 1, "z"), (3, 2, "a"), (4, 3, "z"), (5, 9, "a")], "seq int, code int, key string")
+    assert sorted((r.seq, r.result, r.message) for r in commands.call(req, state).collect()) == [(1, 1, "1"), (2, 2, None), (3, 1, None), (4, 1, None), (5, 3, None)]
+
+
+def test_scalars(spark):
+    d = spark.createDataFrame([("hello", "help"), ("", "a"), ("é1", "é2"), ("ab", "ab")], "a string, b string")
+    assert [r[0] for r in d.select(scalars.common_prefix(F.col("a"), F.col("b"))).collect()] == [3, 0, 1, 2]
+    assert d.select(scalars.checksum(F.col("a"))).first()[0] == 907060870
+    assert spark.range(1).select(scalars.decode(F.unhex(F.lit("FF")))).first()[0] is None
+
+
+def test_runs_and_log_replay(spark, tmp_path):
+    d = spark.createDataFrame([(f"{i:03d}", i, "x" * 100_000 if i == 7 else "y") for i in range(100)], LOG)
+    runs.write_run(d, str(tmp_path / "r1"), files=3)
+    back = runs.read_runs(spark, [str(tmp_path / "r1")])
+    assert back.count() == 100 and back.filter("length(v) = 100000").count() == 1
+    wal = spark.createDataFrame([("a", 1, "x", 1), ("a", 1, "y", 2), ("b", 1, None, 3)], LOG + ", seq int")
+    assert sorted(kv(runs.replay_log(wal))) == [("a", "y"), ("b", None)]
