@@ -130,9 +130,10 @@ def cluster_endings(pairs: np.ndarray, k: int = TAIL_CLASSES, rounds: int = 20)
 
 @dataclass
 class Model:
-    """words: the known words by falling count; the arrays are indexed by word code: rank of a known word, KNOWN +
-    ending of any other."""
+    """words: the known words by falling count, ``known`` at most. class_of and member_of are indexed by word code: rank
+    of a known word, known + ending of any other, and bos, which stands before a text."""
 
+    known: int
     words: list[bytes]
     counts: np.ndarray
     tokens: int
@@ -145,30 +146,34 @@ class Model:
     class_w: np.ndarray
     member_w: np.ndarray
 
+    @property
+    def bos(self) -> int:
+        return self.known + ENDINGS
+
     @property
     def base_log(self) -> float:
         return math.log10(self.tokens + 0.5 * (self.distinct + 1))
 
     def coder(self) -> _Memo:
-        rank = {w: k for k, w in enumerate(self.words)}
-        return _Memo(lambda w: rank[w] if w in rank else KNOWN + ending(w))
+        rank, known = {w: k for k, w in enumerate(self.words)}, self.known
+        return _Memo(lambda w: rank[w] if w in rank else known + ending(w))
 
 
-BOS = KNOWN + ENDINGS
 NONE = np.float32(-1e30)
 
 
-def blank(words: list[bytes], counts: np.ndarray, total: int, distinct: int, ending_mass: np.ndarray, ending_words: np.ndarray, cluster: np.ndarray) -> Model:
+def blank(words: list[bytes], counts: np.ndarray, total: int, distinct: int, ending_mass: np.ndarray, ending_words: np.ndarray, cluster: np.ndarray, known: int = KNOWN) -> Model:
     """The model before training, which is the smoothed relative frequency of words.
 
     ending_mass, ending_words: tokens and distinct words of each ending over the whole training corpus.
     """
-    class_of = np.zeros(BOS + 1, dtype=np.int64)
-    member_of = np.full(BOS + 1, -1, dtype=np.int64)
+    bos = known + ENDINGS
+    class_of = np.zeros(bos + 1, dtype=np.int64)
+    member_of = np.full(bos + 1, -1, dtype=np.int64)
     ends = np.array([ending(w) for w in words], dtype=np.int64)
     class_of[: len(words)] = HEAD_CLASSES + cluster[ends] if len(words) else 0
-    class_of[KNOWN:BOS] = HEAD_CLASSES + cluster
-    class_of[BOS] = CLASSES
+    class_of[known:bos] = HEAD_CLASSES + cluster
+    class_of[bos] = CLASSES
     n = min(HEAD, len(words))
     class_of[:n], member_of[:n] = np.arange(n) // MEMBERS, np.arange(n) % MEMBERS
     mass = ending_mass + 0.5 * ending_words
@@ -183,7 +188,7 @@ def blank(words: list[bytes], counts: np.ndarray, total: int, distinct: int, end
     with np.errstate(divide="ignore"):
         bias = np.where(class_mass > 0, np.log(class_mass), NONE).astype(np.float32)
     zeros = lambda m: np.zeros((1 << ROWS_LOG2, m), dtype=np.float32)
-    return Model(words, counts, total, distinct, class_of, member_of, np.log10(np.maximum(class_mass, 1e-300)), bias, member_bias, zeros(CLASSES), zeros(MEMBERS))
+    return Model(known, words, counts, total, distinct, class_of, member_of, np.log10(np.maximum(class_mass, 1e-300)), bias, member_bias, zeros(CLASSES), zeros(MEMBERS))
 
 
 # --- features ---
@@ -193,7 +198,7 @@ _SHIFT = np.uint64(64 - ROWS_LOG2)
 
 
 def features(m: Model, codes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Rows of the four features of the words at positions ``at``; three BOS stand before each text."""
+    """Rows of the four features of the words at positions ``at``; three bos stand before each text."""
     c1, c2, c3 = codes[at - 1], codes[at - 2], codes[at - 3]
     k = m.class_of
     a, b = c1.astype(np.uint64) + np.uint64(1), c2.astype(np.uint64) + np.uint64(1)
@@ -230,14 +235,14 @@ def log_probs(m: Model, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _encode(texts: list[list[bytes]], coder: _Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all tokens with three BOS before each text, and the positions of the tokens."""
+def _encode(m: Model, texts: list[list[bytes]], coder: _Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all tokens with three bos before each text, and the positions of the tokens."""
     flat: list[int] = []
     for words in texts:
-        flat += (BOS, BOS, BOS)
+        flat += (m.bos, m.bos, m.bos)
         flat += [coder[w] for w in words]
     codes = np.array(flat, dtype=np.int64)
-    return codes, np.flatnonzero(codes != BOS)
+    return codes, np.flatnonzero(codes != m.bos)
 
 
 # --- training ---
@@ -310,7 +315,7 @@ def train(texts: DataFrame, m: Model) -> Model:
 
         def learn(all_: bool) -> None:
             nonlocal held, size
-            codes, at = _encode(held, coder)
+            codes, at = _encode(model, held, coder)
             for k in range(0, len(at), BATCH):
                 step(model, top, deep, codes, at[k : k + BATCH])
             held, size = [], 0
@@ -345,7 +350,7 @@ def train(texts: DataFrame, m: Model) -> Model:
 # --- the whole ---
 
 
-def prepare(texts: DataFrame) -> tuple[DataFrame, Model]:
+def prepare(texts: DataFrame, known: int = KNOWN) -> tuple[DataFrame, Model]:
     """The counts (word, n) of all tokens in the binary column ``text``, and the untrained model."""
     counted = texts.mapInArrow(_count, "kind int, word binary, key int, n long")
     counts = written(counted.groupBy("kind", "word", "key").agg(F.sum("n").alias("n")), "counts")
@@ -356,18 +361,18 @@ def prepare(texts: DataFrame) -> tuple[DataFrame, Model]:
     mass, distinct = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in vocabulary.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         mass[r.key], distinct[r.key] = r.n, r.v
-    # The least count of which at most KNOWN words have as much, from a histogram with 8 bins an octave.
+    # The least count of which at most ``known`` words have as much, from a histogram with 8 bins an octave.
     octave = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     bins = sorted(((r.b, r.c, r.least) for r in vocabulary.groupBy(octave.alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect()), reverse=True)
     held, least = 0, None
     for _, c, n in bins:
-        if (held := held + c) > KNOWN:
+        if (held := held + c) > known:
             break
         least = n
-    known = vocabulary.filter(F.col("n") >= least).select("word", "n").toArrow().to_pylist() if least else []
-    known.sort(key=lambda r: (-r["n"], r["word"]))
-    words, n = [r["word"] for r in known], np.array([r["n"] for r in known], dtype=np.float64)
-    return vocabulary.select("word", "n"), blank(words, n, int(mass.sum()), int(distinct.sum()), mass, distinct, cluster_endings(pairs))
+    frequent = vocabulary.filter(F.col("n") >= least).select("word", "n").toArrow().to_pylist() if least else []
+    frequent.sort(key=lambda r: (-r["n"], r["word"]))
+    words, n = [r["word"] for r in frequent], np.array([r["n"] for r in frequent], dtype=np.float64)
+    return vocabulary.select("word", "n"), blank(words, n, int(mass.sum()), int(distinct.sum()), mass, distinct, cluster_endings(pairs), known)
 
 
 _SCORED = "n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, n: int>>"
@@ -384,11 +389,11 @@ def score_texts(m: Model, texts: list[bytes | None], coder: _Memo) -> list[tuple
         base = model = 0.0
         known, tail = 0, Counter()
         for a in range(0, len(w), SPAN):
-            # Three words before a later span are its history; the first starts from BOS.
-            codes, at = _encode([w[max(0, a - 3) : a + SPAN]], coder)
+            # Three words before a later span are its history; the first starts from bos.
+            codes, at = _encode(m, [w[max(0, a - 3) : a + SPAN]], coder)
             at = at[min(a, 3) :]
             y = codes[at]
-            is_known, cls = y < KNOWN, m.class_of[y]
+            is_known, cls = y < m.known, m.class_of[y]
             lp = log_probs(m, codes, at) / math.log(10)
             in_tail = m.member_of[y] < 0
             c = log_c[y[is_known]]
@@ -399,20 +404,20 @@ def score_texts(m: Model, texts: list[bytes | None], coder: _Memo) -> list[tuple
     return out
 
 
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, training) for every row of ``docs``.
 
     ``training``: a boolean column, true for the rows that are learned from (null counts as false). n_known: tokens
     that occur in them; base_score: log10 probability of the text under smoothed relative frequencies; score: under the
     model. A null text is an empty one and consists of its end; without training texts every token has probability 1
     in the base. Repeated rows are all scored, and all learned from. Ids may be null or repeat. Counts of words beyond
-    the KNOWN most frequent are joined by word; these words' rows are folded by document before.
+    the ``known`` most frequent are joined by word; these words' rows are folded by document before.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     learned = F.coalesce(training, F.lit(False))
     texts = docs.filter(learned).select(text.alias("text"))
-    vocabulary, m = prepare(texts)
+    vocabulary, m = prepare(texts, known)
     m = train(texts, m)
     shared = spark.sparkContext.broadcast(m)
 
