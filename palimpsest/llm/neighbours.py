@@ -168,7 +168,7 @@ def top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: i
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, parts: int = PARTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` the k nearest rows found by cosine.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id or
@@ -186,7 +186,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == sizes[0][1])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + HELD_OUT).select("v").toArrow()
-    router = learn(_matrix(sample.column(0)), k=k)
+    router = learn(_matrix(sample.column(0)), parts, k=k)
     shared = spark.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:

@@ -98,8 +98,8 @@ def _mixed(count: Column, n: str, kinds: str, shorter: Column) -> Column:
 
 
 def calibrate(scored: DataFrame) -> float:
-    """Threshold on ratio with the best mean of the two classes' accuracies on (ratio, verdict, n), nearest to 0 of
-    equals; 0 if a class is missing. Read off a histogram of at most 3201 bins."""
+    """Threshold on ratio with the best mean of the two classes' accuracies on (ratio, verdict, n), in the middle of a
+    gap and nearest to 0 of equals; 0 if a class is missing. Read off a histogram of at most 3201 bins."""
     b = F.greatest(F.lit(-1600), F.least(F.lit(1600), F.floor(F.col("ratio") * 200))).cast("int")
     bins: dict[int, list[int]] = {}
     for r in scored.groupBy(b.alias("b"), "verdict").agg(F.sum("n").alias("n")).collect():
@@ -108,9 +108,10 @@ def calibrate(scored: DataFrame) -> float:
     if not good or not bad:
         return 0.0
     best, below_good, below_bad = (0.5, 0.0), 0, 0
-    for k in sorted(bins):
+    held = sorted(bins)
+    for k, after in zip(held, held[1:], strict=False):
         below_good, below_bad = below_good + bins[k][0], below_bad + bins[k][1]
-        at = (k + 1) / 200
+        at = (k + 1 + after) / 400
         score = ((good - below_good) / good + below_bad / bad) / 2
         if (score, -abs(at)) > (best[0], -abs(best[1])):
             best = (score, at)
