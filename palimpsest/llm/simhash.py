@@ -228,7 +228,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     kept = written(found.filter("id = component_id").groupBy("id").agg(F.count("*").alias("__keep_n")).withColumnRenamed("id", "__keep_id"), "kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    with_id = docs.join(kept, F.col(id_col) == F.col("__keep_id"))
+    # Ids kept grow with the documents: the join is a shuffled one at every size.
+    with_id = docs.join(kept.hint("merge"), F.col(id_col) == F.col("__keep_id"))
     out = with_id.filter("__keep_n = 1").select(*names)
     if kept.filter("__keep_n > 1").limit(1).count():
         out = out.unionByName(with_id.filter("__keep_n > 1").dropDuplicates([id_col]).select(*names))
