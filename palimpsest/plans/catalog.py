@@ -15,7 +15,8 @@ from palimpsest.operators import bounds, compaction, merge, occ, probe, resolve,
 from palimpsest.operators.bounds import excluded, included
 from palimpsest.operators.versions import events_log, latest_ts
 from palimpsest.session import scratch
-from palimpsest.sources import commands
+from palimpsest.sources import commands, runs
+from palimpsest.sources.store import Store
 from palimpsest.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,6 +376,52 @@ def rpc_call(spark, sf_dir):
     return commands.call(r, resolve.snapshot(events_log(spark, sf_dir)))
 
 
+# --- durable state ---
+
+
+@query(_SQL["get_latest"])
+def runs_roundtrip(spark, sf_dir):
+    at = scratch(spark, "runs")
+    log = events_log(spark, sf_dir)
+    for i in range(2):
+        runs.write_run(log.filter(F.col("ts") % 2 == i), f"{at}/{i}", files=2)
+    return resolve.snapshot(runs.read_runs(spark, [f"{at}/0", f"{at}/1"]))
+
+
+@query("SELECT o_custkey AS k, o_orderkey % 5 AS ts, arg_max(o_orderstatus, o_orderkey) AS v FROM orders GROUP BY 1, 2")
+def log_replay(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    return runs.replay_log(o.select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 5).alias("ts"), F.col("o_orderstatus").alias("v"), F.col("o_orderkey").alias("seq")))
+
+
+def _store(spark, sf_dir, compact: bool) -> DataFrame:
+    """Three commits, then a reopened store; read between 1 and 2 in byte order."""
+    at = scratch(spark, "store")
+    store = Store(spark, at)
+    ops = lambda t, k, op, v: _table(spark, sf_dir, t).select(F.lit(0).alias("seq"), F.lit(op).alias("op"), F.encode(F.col(k).cast("string"), "UTF-8").alias("k"), F.encode(F.col(v), "UTF-8").alias("v"))
+    store.write_frame(ops("customer", "c_custkey", "put", "c_name"))
+    store.write_frame(ops("customer", "c_custkey", "del", "c_name").filter("cast(decode(k, 'UTF-8') as bigint) % 3 = 0"))
+    store.write_frame(ops("supplier", "s_suppkey", "put", "s_name"))
+    if compact:
+        store.compact(full=True)
+    again = Store(spark, at)
+    rows = again.scan(included("1"), excluded("2"), read_ts=None if compact else 2)
+    return rows.select(F.decode("k", "UTF-8").alias("k"), F.decode("v", "UTF-8").alias("v"))
+
+
+_CUSTOMERS = "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS v FROM customer WHERE c_custkey % 3 <> 0"
+
+
+@query(f"SELECT k, v FROM ({_CUSTOMERS}) WHERE k >= '1' AND k < '2'")
+def store_snapshot(spark, sf_dir):
+    return _store(spark, sf_dir, compact=False)
+
+
+@query(f"SELECT k, v FROM (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_name AS v FROM supplier UNION ALL SELECT * FROM ({_CUSTOMERS}) WHERE k NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)) WHERE k >= '1' AND k < '2'")
+def store_compacted(spark, sf_dir):
+    return _store(spark, sf_dir, compact=True)
+
+
 # --- functions, streams ---
 
 
