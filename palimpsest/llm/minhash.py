@@ -6,6 +6,8 @@ a bin that a seeded walk reaches first (optimal densification), and the low bits
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ BINS_LOG2, LOW_BITS, SHINGLE = 7, 8, 5
 BINS = 1 << BINS_LOG2
 _SPACE = r"[\x20\x09-\x0D]+"
 _LEAST = -(1 << 63)
+#: The bits of a hash below its bin, and each bin's greatest hash (signed).
+_REST = (1 << (64 - BINS_LOG2)) - 1
+_GREATEST = [((b - BINS // 2) << (64 - BINS_LOG2)) + _REST for b in range(BINS)]
+#: An empty bin walks over all bins from its own start with its own odd stride.
+_random = random.Random(5)
+_STARTS, _STRIDES = [_random.randrange(BINS) for _ in range(BINS)], [_random.randrange(BINS // 2) * 2 + 1 for _ in range(BINS)]
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -29,26 +37,29 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(t + "w", F.transform(words, lambda w: F.xxhash64(w)))
     w = F.col(t + "w")
     shingles = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
-    df = df.withColumn(t + "h", F.sort_array(F.when(F.size(w) >= SHINGLE, shingles).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))))
+    df = df.withColumn(t + "h", F.sort_array(F.concat(F.array(*(F.lit(x) for x in _GREATEST)), F.when(F.size(w) >= SHINGLE, shingles).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))))
     h = F.col(t + "h")
-    # A signed shift keeps the bins in the order of the sorted hashes.
+    # A signed shift keeps the bins in the order of the sorted hashes. The greatest hash of each bin is among them, so
+    # the first of each bin is found for all bins, and is that one where a bin is empty.
     bin_of = lambda x: F.shiftright(x, 64 - BINS_LOG2)
     df = df.withColumn(t + "m", F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, i - 1)))))
-    m = F.col(t + "m")
     value = lambda x: (x.bitwiseAND(F.lit(low)) - 128).cast("tinyint")
-    df = df.withColumn(t + "b", F.transform(m, lambda x: (bin_of(x) + BINS // 2).cast("int"))).withColumn(t + "v", F.transform(m, value))
-    b, v = F.col(t + "b"), F.col(t + "v")
-
-    def filled(j: Column) -> Column:
-        own = F.array_position(b, j)
-        # A walk over all bins from a start and with an odd stride that depend on the bin.
-        walk = lambda a: ((F.pmod(F.xxhash64(F.lit(1), j), F.lit(BINS)) + a * (F.pmod(F.xxhash64(F.lit(2), j), F.lit(BINS // 2)) * 2 + 1)) % BINS).cast("int")
-        held = F.filter(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda a: F.array_position(b, walk(a))), lambda p: p > 0)
-        return F.when(own > 0, F.get(v, (own - 1).cast("int"))).otherwise(F.get(v, (F.get(held, 0) - 1).cast("int")))
-
-    every = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), filled)
-    df = df.withColumn(out, F.when((F.size(b) == BINS) | (F.size(b) == 0), v).otherwise(every))
-    return df.drop(*(t + x for x in "whmbv"))
+    empty = lambda x: x.bitwiseAND(F.lit(_REST)) == _REST
+    df = df.withColumn(t + "v", F.transform(t + "m", lambda x: F.when(~empty(x), x)))
+    v = F.col(t + "v")
+    starts, strides = (F.array(*(F.lit(k) for k in ks)) for ks in (_STARTS, _STRIDES))
+
+    def probe(j: Column, a: Column | int) -> Column:
+        return F.get(v, (F.get(starts, j) + F.get(strides, j) * a) % BINS)
+
+    def filled(x: Column, j: Column) -> Column:
+        walk = F.filter(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda a: probe(j, a)), lambda y: y.isNotNull())
+        # A borrowed hash is mixed with the bin: else all bins of a text of one shingle would agree by chance at once.
+        return F.when(x.isNotNull(), value(x)).otherwise(value(F.xxhash64(F.coalesce(*(probe(j, a) for a in range(8)), F.get(walk, 0)), j)))
+
+    some = F.size(F.array_compact(v))
+    df = df.withColumn(out, F.when(some == 0, F.array().cast("array<tinyint>")).when(some == BINS, F.transform(v, value)).otherwise(F.transform(v, filled)))
+    return df.drop(*(t + x for x in "whmv"))
 
 
 def packed(fp: Column) -> Column:
