@@ -14,6 +14,8 @@ from palimpsest.llm.common import written
 
 #: A document of which less than this share of n-grams belongs to its best language is in none of the languages.
 LEAST_SCORE = 0.3
+#: Fingerprints that are looked at for near copies with a similarity of 0.8 or more.
+WIDE_BITS = 7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest id of each group of near-duplicates.
+
+    Fingerprints within 3 bits link as they are; within WIDE_BITS, if the texts share 0.8 of their five-word shingles.
+    """
+    return simhash.keep_one(docs, wide_bits=WIDE_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

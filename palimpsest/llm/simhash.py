@@ -199,33 +199,85 @@ def links(prints: DataFrame, max_bits: int, parts: list[tuple[list[int], int]])
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row per input row: (id, fp, component_id, root).
+def _shingle_set(text: Column, shingle: int) -> Column:
+    """Sorted different 64-bit hashes of a text's shingles; of a text with fewer words, of the whole; none without."""
 
-    Rows link if their fingerprints differ in at most ``max_bits`` bits; component_id is the smallest id that can
-    be reached over links, root the smallest fingerprint. Rows are folded to distinct fingerprints first, so exact
-    copies never meet in a join, and only links between different fingerprints are searched. A null text has
-    fingerprint 0, as an empty one; all of these link. A null id stays null and counts for no minimum (component_id is
-    null where all ids are). Repeated rows are all returned. Other columns are not read.
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = []
+            for x in batch:
+                w = x.as_py().lower().split() if x.is_valid else []
+                n = max(1, len(w) - shingle + 1) if w else 0
+                h = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(n)], dtype=np.uint64).view(np.int64))
+                sets.append(pa.array(h))
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(sets) if sets else pa.array([], pa.int64()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<long>")(text.cast("binary"))
+
+
+def _alike(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, prints: DataFrame, bits: int, similarity: float, shingle: int) -> DataFrame:
+    """(u, v): classes (fp, root, component_id) that have fingerprints within ``bits`` and whose representatives, the
+    documents with the smallest ids, share ``similarity`` of their shingles.
+
+    Links are folded to pairs of classes before any text is looked at, and each class brings one text.
     """
-    rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
-    prints = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    roots = connected_components(links(prints, max_bits, plan(prints, max_bits)))
+    root = classes.select("fp", "root")
+    found = links(prints, bits, plan(prints, bits))
+    found = found.join(root.select(F.col("fp").alias("u"), F.col("root").alias("a")), "u").join(root.select(F.col("fp").alias("v"), F.col("root").alias("b")), "v")
+    pairs = written(found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("root")).distinct()
+    asked = asked.join(classes.groupBy("root").agg(F.min("component_id").alias("__rep")), "root").filter("__rep is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked.hint("merge"), F.col("id") == F.col("__rep"))
+    sets = written(texts.dropDuplicates(["root"]).select("root", _shingle_set(F.col("text"), shingle).alias("set")), "sets")
+    both = pairs.join(sets.select(F.col("root").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("root").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of all fingerprints (fp, least) for links between them."""
+    roots = connected_components(edges)
     linked = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     # A minimum per root and a join back: the groups are those of different fingerprints only.
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     member = linked.join(least, "root").select("fp", "root", "component_id")
-    every = prints.join(member, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(every, "fp").select("id", "fp", "component_id", "root")
+    every = prints.join(member, "fp", "left")
+    alone = F.col("root").isNull()
+    return every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, wide_bits: int | None = None, similarity: float = 0.8, verify_shingle: int = 5) -> DataFrame:
+    """One row per input row: (id, fp, component_id, root).
+
+    Rows link if their fingerprints differ in at most ``max_bits`` bits; component_id is the smallest id that can
+    be reached over links, root the smallest fingerprint. With ``wide_bits`` the groups found so are also linked if
+    fingerprints of theirs are that near and the texts with their smallest ids share ``similarity`` of their
+    ``verify_shingle``-word shingles (groups without any id are not).
+
+    Rows are folded to distinct fingerprints first, so exact copies never meet in a join, and only links between
+    different fingerprints are searched. A null text has fingerprint 0, as an empty one; all of these link. A null id
+    stays null and counts for no minimum (component_id is null where all ids are). Repeated rows are all returned.
+    Other columns are not read.
+    """
+    rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
+    prints = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    classes = _classes(prints, links(prints, max_bits, plan(prints, max_bits)))
+    if wide_bits is not None:
+        more = _alike(docs, id_col, text_col, classes, prints, wide_bits, similarity, verify_shingle)
+        within_class = classes.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+        classes = _classes(prints, within_class.unionByName(more))
+    return rows.join(classes, "fp").select("id", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, without those that a near-duplicate with a smaller id stands for.
 
-    Of repeated rows of the id that stays, one stays. A group in which every id is null keeps one row of its smallest
-    fingerprint.
+    ``how``: as for :func:`near_duplicates`. Of repeated rows of the id that stays, one stays. A group in which every id
+    is null keeps one row of its smallest fingerprint.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+    found = near_duplicates(docs, id_col, text_col, **how)
     kept = written(found.filter("id = component_id").groupBy("id").agg(F.count("*").alias("__keep_n")).withColumnRenamed("id", "__keep_id"), "kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
     # Ids kept grow with the documents: the join is a shuffled one at every size.
@@ -235,6 +287,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         out = out.unionByName(with_id.filter("__keep_n > 1").dropDuplicates([id_col]).select(*names))
     if found.filter("id is null").limit(1).count():
         alone = found.filter("component_id is null and fp = root").select(F.col("fp").alias("__keep_fp")).distinct()
-        nulls = docs.filter(F.col(id_col).isNull()).withColumn("__keep_of", fingerprint(F.col(text_col), shingle))
+        nulls = docs.filter(F.col(id_col).isNull()).withColumn("__keep_of", fingerprint(F.col(text_col), how.get("shingle", 3)))
         out = out.unionByName(nulls.join(alone, F.col("__keep_of") == F.col("__keep_fp")).dropDuplicates(["__keep_of"]).select(*names))
     return out
