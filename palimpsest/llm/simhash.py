@@ -218,17 +218,18 @@ def _shingle_set(text: Column, shingle: int) -> Column:
 
 
 def _alike(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, prints: DataFrame, bits: int, similarity: float, shingle: int) -> DataFrame:
-    """(u, v): classes (fp, root, component_id) that have fingerprints within ``bits`` and whose representatives, the
-    documents with the smallest ids, share ``similarity`` of their shingles.
+    """(u, v): roots of classes (fp, root, component_id) whose representatives, the documents with the smallest ids, have
+    fingerprints within ``bits`` and share ``similarity`` of their shingles.
 
-    Links are folded to pairs of classes before any text is looked at, and each class brings one text.
+    Each class brings one fingerprint and one text, so the many copies in a class are not paired with those of another.
     """
-    root = classes.select("fp", "root")
-    found = links(prints, bits, plan(prints, bits))
+    one = classes.join(prints.filter("least is not null"), "fp").filter("least = component_id")
+    one = written(one.groupBy("root").agg(F.min("fp").alias("fp"), F.min("least").alias("__rep")), "representatives")
+    found = links(one.select("fp"), bits, plan(one, bits))
+    root = one.select("fp", "root")
     found = found.join(root.select(F.col("fp").alias("u"), F.col("root").alias("a")), "u").join(root.select(F.col("fp").alias("v"), F.col("root").alias("b")), "v")
-    pairs = written(found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("root")).distinct()
-    asked = asked.join(classes.groupBy("root").agg(F.min("component_id").alias("__rep")), "root").filter("__rep is not null")
+    pairs = written(found.select("a", "b"), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("root")).distinct().join(one.select("root", "__rep"), "root")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked.hint("merge"), F.col("id") == F.col("__rep"))
     sets = written(texts.dropDuplicates(["root"]).select("root", _shingle_set(F.col("text"), shingle).alias("set")), "sets")
     both = pairs.join(sets.select(F.col("root").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("root").alias("b"), F.col("set").alias("sb")), "b")
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows link if their fingerprints differ in at most ``max_bits`` bits; component_id is the smallest id that can
     be reached over links, root the smallest fingerprint. With ``wide_bits`` the groups found so are also linked if
-    fingerprints of theirs are that near and the texts with their smallest ids share ``similarity`` of their
+    the texts with their smallest ids have fingerprints that near and share ``similarity`` of their
     ``verify_shingle``-word shingles (groups without any id are not).
 
     Rows are folded to distinct fingerprints first, so exact copies never meet in a join, and only links between

@@ -168,9 +168,8 @@ def test_wide_links_are_verified(spark):
     for i, t in sorted(rows):
         rep.setdefault(near[fps[t]], t)
     ok = []
-    for a, b in combinations(set(fps.values()), 2):
-        x, y = near[a], near[b]
-        if x != y and (a ^ b).bit_count() <= 8:
+    for x, y in combinations(rep, 2):
+        if (fps[rep[x]] ^ fps[rep[y]]).bit_count() <= 8:
             s, t = shingled(rep[x]), shingled(rep[y])
             if len(s & t) >= 0.8 * len(s | t):
                 ok.append((x, y))
