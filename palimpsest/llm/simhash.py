@@ -246,7 +246,8 @@ def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
     member = linked.join(least, "root").select("fp", "root", "component_id")
     every = prints.join(member, "fp", "left")
     alone = F.col("root").isNull()
-    return every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    # A table of its own: Spark can then split the rows of a fingerprint that many copies share.
+    return written(every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, wide_bits: int | None = None, similarity: float = 0.8, verify_shingle: int = 5) -> DataFrame:
