@@ -147,6 +147,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert ids.count(None) == sum(x is None for x in least.values()) == 1
 
 
+def slow_wide(rows, bits):
+    """Component of each (id, text): groups within 3 bits, then groups whose first texts are near and alike."""
+
+    def shingled(t):
+        w = t.encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    fps = {t: slow_simhash(t) for _, t in rows}
+    near = groups(set(fps.values()), [(a, b) for a, b in combinations(set(fps.values()), 2) if (a ^ b).bit_count() <= 3])
+    rep = {}
+    for _, t in sorted(rows):
+        rep.setdefault(near[fps[t]], t)
+    alike = []
+    for x, y in combinations(rep, 2):
+        if (fps[rep[x]] ^ fps[rep[y]]).bit_count() <= bits:
+            s, t = shingled(rep[x]), shingled(rep[y])
+            if len(s & t) >= 0.8 * len(s | t):
+                alike.append((x, y))
+    root = groups(set(fps.values()), [*alike, *near.items()])
+    least = {}
+    for i, t in sorted(rows):
+        least.setdefault(root[fps[t]], i)
+    return {i: least[root[fps[t]]] for i, t in rows}
+
+
 def test_wide_links_are_verified(spark):
     """Near copies too far apart for max_bits link over their shingles; texts that only look alike don't."""
     rng = random.Random(11)
@@ -161,24 +186,8 @@ def test_wide_links_are_verified(spark):
                 copy[at] = word()
             rows.append((10 * i + k + 1, " ".join(copy)))
     df = spark.createDataFrame([*rows, (10**6, None), (None, None)], DOCS)
-    shingled = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
-    fps = {t: slow_simhash(t) for _, t in rows}
-    near = groups(set(fps.values()), [(a, b) for a, b in combinations(set(fps.values()), 2) if (a ^ b).bit_count() <= 3])
-    rep = {}
-    for i, t in sorted(rows):
-        rep.setdefault(near[fps[t]], t)
-    ok = []
-    for x, y in combinations(rep, 2):
-        if (fps[rep[x]] ^ fps[rep[y]]).bit_count() <= 8:
-            s, t = shingled(rep[x]), shingled(rep[y])
-            if len(s & t) >= 0.8 * len(s | t):
-                ok.append((x, y))
-    root = groups(set(fps.values()), [*ok, *near.items()])
-    least = {}
-    for i, t in sorted(rows):
-        least.setdefault(root[fps[t]], i)
     got = {r.id: r.component_id for r in simhash.near_duplicates(df, wide_bits=8).collect() if r.id is not None}
-    assert got == {i: least[root[fps[t]]] for i, t in rows} | {10**6: 10**6}
+    assert got == slow_wide(rows, 8) | {10**6: 10**6}
     narrow = {r.id: r.component_id for r in simhash.near_duplicates(df).collect() if r.id is not None}
     assert len(set(got.values())) < len(set(narrow.values()))
 

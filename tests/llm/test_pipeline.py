@@ -1,7 +1,6 @@
 """The corpus pipeline against plain versions of its stages, the query registry, and results over the smallest tables."""
 
 import zlib
-from itertools import combinations
 from pathlib import Path
 
 import duckdb
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from palimpsest.llm import catalog
-from tests.llm.test_dedup import groups, slow_simhash
+from tests.llm.test_dedup import slow_simhash, slow_wide
 from tests.llm.test_mixing_packing import slow_targets
 
 SF = "/root/testdata/sf0.001"
@@ -39,14 +38,8 @@ def test_stages(spark):
     assert kept == {r.doc_id for r in start.collect()} - {10**6, 10**6 + 1, 10**6 + 2}
 
     two = corpus_pipeline.near_dedup(spark, one, SF)
-    texts = {r.doc_id: r.text for r in one.collect()}
-    prints = {i: slow_simhash(t) for i, t in texts.items()}
-    distinct = set(prints.values())
-    root = groups(distinct, [(a, b) for a, b in combinations(distinct, 2) if (a ^ b).bit_count() <= 3])
-    least = {}
-    for i, p in prints.items():
-        least[root[p]] = min(i, least.get(root[p], i))
-    assert two.columns == docs.columns and sorted(r.doc_id for r in two.collect()) == sorted(least.values())
+    least = slow_wide([(r.doc_id, r.text) for r in one.collect()], corpus_pipeline.WIDE_BITS)
+    assert two.columns == docs.columns and sorted(r.doc_id for r in two.collect()) == sorted(set(least.values()))
     assert not any(r.doc_id >= 2 * 10**6 for r in two.collect())
 
     three = corpus_pipeline.mix_sources(spark, two, SF)
