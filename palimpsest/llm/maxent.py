@@ -39,7 +39,7 @@ ROWS_LOG2 = 15
 KNOWN = 1 << 18
 #: The end of a text. It can't be a word, which holds no white space.
 END = b"\n"
-BATCH, RATE, SHRINK = 8192, 0.15, 4.0
+FIRST, BATCH, RATE, SHRINK = 512, 8192, 0.15, 4.0
 #: Distinct words a counting task holds; tokens a scoring task handles at a time; weight rows in a block; fan-in.
 HELD, SPAN, BLOCK, FAN = 400_000, 1 << 14, 256, 16
 _PUNCT = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -266,13 +266,25 @@ class _Table:
         self.w, self.acc, self.hits = weights.copy(), np.zeros(len(weights), np.float32), np.zeros(len(weights), np.float32)
 
     def push(self, rows: np.ndarray, grad: np.ndarray) -> None:
+        """Adds the gradients of equal rows and makes one step on each row."""
         order = np.argsort(rows, kind="stable")
-        s = rows[order]
+        s, g = rows[order], grad[order]
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        total, r = np.add.reduceat(grad[order], starts, axis=0), s[starts]
-        self.acc[r] += (total * total).mean(axis=1)
-        self.w[r] -= (RATE / np.sqrt(self.acc[r] + 1e-4))[:, None] * total
-        self.hits[r] += np.diff(np.append(starts, len(s)))
+        n = np.diff(np.append(starts, len(s)))
+        # Most rows have a few gradients; reduceat is slow on short runs.
+        total, few = g[starts], n <= 4
+        for k in (1, 2, 3):
+            more = np.flatnonzero(few & (n > k))
+            total[more] += g[starts[more] + k]
+        many = np.flatnonzero(~few)
+        if len(many):
+            total[many] = np.add.reduceat(g[np.repeat(~few, n)], np.cumsum(n[many]) - n[many], axis=0)
+        r = s[starts]
+        acc = self.acc[r] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+        self.acc[r] = acc
+        total *= (RATE / np.sqrt(acc + 1e-4))[:, None]
+        self.w[r] -= total
+        self.hits[r] += n
 
 
 def step(m: Model, top: _Table, deep: _Table, codes: np.ndarray, at: np.ndarray) -> None:
@@ -324,23 +336,25 @@ def train(texts: DataFrame, m: Model) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        coder, top, deep, held, size = model.coder(), _Table(model.class_w), _Table(model.member_w), [], 0
+        coder, top, deep, held, size, seen = model.coder(), _Table(model.class_w), _Table(model.member_w), [], 0, 0
 
-        def learn(all_: bool) -> None:
-            nonlocal held, size
+        def learn() -> None:
+            nonlocal held, size, seen
             codes, at = _encode(model, held, coder)
-            for k in range(0, len(at), BATCH):
-                step(model, top, deep, codes, at[k : k + BATCH])
+            while len(at):  # batches grow from FIRST to BATCH
+                n = min(BATCH, max(FIRST, seen // 16))
+                step(model, top, deep, codes, at[:n])
+                at, seen = at[n:], seen + n
             held, size = [], 0
 
         for batch in batches:
             for x in batch.column(0):
                 held.append(tokens(x.as_py()))
                 size += len(held[-1])
-                if size >= SPAN:
-                    learn(False)
+                if size >= 4 * SPAN:
+                    learn()
         if held:
-            learn(True)
+            learn()
         task = TaskContext.get().partitionId()
         rows = [*_blocks(0, task, top.hits, top.w), *_blocks(1, task, deep.hits, deep.w)]
         for k in range(0, len(rows), 64):
@@ -460,7 +474,9 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, max(1, len(batch)), 512):
                 got = score_texts(shared.value, [x.as_py() for x in batch[at : at + 512]], coder)
                 cols = list(zip(*got, strict=True)) or [[]] * 5
-                tails = pa.array([[{"word": w, "n": n} for w, n in t.items()] for t in cols[4]], pa.list_(item))
+                ends = np.cumsum([0, *map(len, cols[4])], dtype=np.int32)
+                words = pa.StructArray.from_arrays([pa.array([w for t in cols[4] for w in t], pa.binary()), pa.array([n for t in cols[4] for n in t.values()], pa.int32())], fields=list(item))
+                tails = pa.ListArray.from_arrays(pa.array(ends), words)
                 part = pa.StructArray.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), tails], names=["n_tokens", "n_known", "base", "score", "tail"])
                 parts = [part] if at == 0 else [*parts, part]
             yield pa.concat_arrays(parts)
