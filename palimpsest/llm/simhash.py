@@ -176,8 +176,9 @@ def _keyed(flips: Column, key: Column, part: int) -> Column:
     return F.transform(flips, lambda b: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(b).alias("key")))
 
 
-def links(prints: DataFrame, max_bits: int, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(u, v): all pairs of the distinct fingerprints in column fp that differ in 1 to ``max_bits`` bits, each once.
+def links(prints: DataFrame, max_bits: int, parts: list[tuple[list[int], int]], apart: str | None = None) -> DataFrame:
+    """(u, v): all pairs of the distinct fingerprints in column fp that differ in 1 to ``max_bits`` bits, each once; with
+    ``apart`` only those with different values in that column.
 
     A side offers its own bits of a partition, the other side its bits with up to ``threshold`` of them flipped. At
     threshold 1 only zeros are flipped to ones: of two keys one bit apart, one has a zero there.
@@ -193,9 +194,12 @@ def links(prints: DataFrame, max_bits: int, parts: list[tuple[list[int], int]])
         else:
             flips = F.array(*(F.lit(mask(list(c))) for t in range(threshold + 1) for c in combinations(bits, t)))
         probed.append(_keyed(flips, key, k))
-    left = prints.select(fp.alias("u"), F.explode(F.array(*offered)).alias("x")).select("u", "x.part", "x.key")
-    right = prints.select(fp.alias("v"), F.explode(F.concat(*probed)).alias("x")).select("v", "x.part", "x.key")
+    of_u, of_v = ([F.col(apart).alias("of_u")], [F.col(apart).alias("of_v")]) if apart else ([], [])
+    left = prints.select(fp.alias("u"), *of_u, F.explode(F.array(*offered)).alias("x")).select("u", *(["of_u"] if apart else []), "x.part", "x.key")
+    right = prints.select(fp.alias("v"), *of_v, F.explode(F.concat(*probed)).alias("x")).select("v", *(["of_v"] if apart else []), "x.part", "x.key")
     found = left.join(right, ["part", "key"]).filter((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits))
+    if apart:
+        found = found.filter("of_u <> of_v")
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -217,24 +221,28 @@ def _shingle_set(text: Column, shingle: int) -> Column:
     return F.arrow_udf(run, "array<long>")(text.cast("binary"))
 
 
-def _alike(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, prints: DataFrame, bits: int, similarity: float, shingle: int) -> DataFrame:
-    """(u, v): roots of classes (fp, root, component_id) whose representatives, the documents with the smallest ids, have
-    fingerprints within ``bits`` and share ``similarity`` of their shingles.
+def _alike(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, classes: DataFrame, bits: int, similarity: float, shingle: int) -> DataFrame:
+    """(u, v): fingerprints of different classes (fp, root) that differ in at most ``bits`` bits and belong to two texts, one
+    of each, that share ``similarity`` of their shingles.
 
-    Each class brings one fingerprint and one text, so the many copies in a class are not paired with those of another.
+    All different texts of both fingerprints are compared; equal ones (rows: id, fp, text_hash) come once.
     """
-    one = classes.join(prints.filter("least is not null"), "fp").filter("least = component_id")
-    one = written(one.groupBy("root").agg(F.min("fp").alias("fp"), F.min("least").alias("__rep")), "representatives")
-    found = links(one.select("fp"), bits, plan(one, bits))
-    root = one.select("fp", "root")
-    found = found.join(root.select(F.col("fp").alias("u"), F.col("root").alias("a")), "u").join(root.select(F.col("fp").alias("v"), F.col("root").alias("b")), "v")
-    pairs = written(found.select("a", "b"), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("root")).distinct().join(one.select("root", "__rep"), "root")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked.hint("merge"), F.col("id") == F.col("__rep"))
-    sets = written(texts.dropDuplicates(["root"]).select("root", _shingle_set(F.col("text"), shingle).alias("set")), "sets")
-    both = pairs.join(sets.select(F.col("root").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("root").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = written(links(classes, bits, plan(classes, bits), "root"), "near")
+    asked = rows.join(near.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp").groupBy("fp", "text_hash").agg(F.min("id").alias("__rep"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("__hash", F.xxhash64("text"))
+    texts = texts.join(asked.hint("merge"), (F.col("__hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("__rep")))
+    # Texts that differ in nothing but case and space have one set.
+    sets = written(texts.select("fp", _shingle_set(F.col("text"), shingle).alias("set")).distinct().withColumn("n", F.size("set")).filter("n > 0"), "sets")
+    # Sets so different in size that they can't be alike are left out before any set is moved.
+    sizes = sets.groupBy("fp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    side = lambda x: sizes.select(F.col("fp").alias(x), F.col("least_n").alias(f"least_{x}"), F.col("most_n").alias(f"most_{x}"))
+    share = F.lit(similarity)
+    pairs = near.join(side("u"), "u").join(side("v"), "v").filter((F.col("most_u") >= share * F.col("least_v")) & (F.col("most_v") >= share * F.col("least_u"))).select("u", "v")
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("su"), F.col("n").alias("nu")), "u")
+    both = both.join(sets.select(F.col("fp").alias("v"), F.col("set").alias("sv"), F.col("n").alias("nv")), "v")
+    both = both.filter((F.col("nu") >= share * F.col("nv")) & (F.col("nv") >= share * F.col("nu")))
+    shared = F.size(F.array_intersect("su", "sv"))
+    return both.filter(shared >= share * (F.col("nu") + F.col("nv") - shared)).select("u", "v").distinct()
 
 
 def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
@@ -254,20 +262,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: (id, fp, component_id, root).
 
     Rows link if their fingerprints differ in at most ``max_bits`` bits; component_id is the smallest id that can
-    be reached over links, root the smallest fingerprint. With ``wide_bits`` the groups found so are also linked if
-    the texts with their smallest ids have fingerprints that near and share ``similarity`` of their
-    ``verify_shingle``-word shingles (groups without any id are not).
+    be reached over links, root the smallest fingerprint. With ``wide_bits`` rows are also linked if their fingerprints
+    are that near and their texts share ``similarity`` of their ``verify_shingle``-word shingles.
 
     Rows are folded to distinct fingerprints first, so exact copies never meet in a join, and only links between
     different fingerprints are searched. A null text has fingerprint 0, as an empty one; all of these link. A null id
     stays null and counts for no minimum (component_id is null where all ids are). Repeated rows are all returned.
     Other columns are not read.
     """
-    rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
+    text = F.col(text_col)
+    rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(text, shingle).alias("fp"), F.xxhash64(text).alias("text_hash")), "simhash")
     prints = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
     classes = _classes(prints, links(prints, max_bits, plan(prints, max_bits)))
     if wide_bits is not None:
-        more = _alike(docs, id_col, text_col, classes, prints, wide_bits, similarity, verify_shingle)
+        more = _alike(docs, id_col, text_col, rows, classes, wide_bits, similarity, verify_shingle)
         within_class = classes.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
         classes = _classes(prints, within_class.unionByName(more))
     return rows.join(classes, "fp").select("id", "fp", "component_id", "root")

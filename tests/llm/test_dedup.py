@@ -192,6 +192,63 @@ def test_wide_links_are_verified(spark):
     assert len(set(got.values())) < len(set(narrow.values()))
 
 
+def every_pair(rows, bits):
+    """Component of each row (id, text) by its place: all pairs of rows are compared, whatever group they are in."""
+
+    def shingled(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    fps, sets = [slow_simhash(t) for _, t in rows], [shingled(t) for _, t in rows]
+    found = []
+    for x, y in combinations(range(len(rows)), 2):
+        d, s, t = (fps[x] ^ fps[y]).bit_count(), sets[x], sets[y]
+        if d <= 3 or d <= bits and s and t and len(s & t) >= 0.8 * len(s | t):
+            found.append((x, y))
+    root = groups(range(len(rows)), found)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root[k]] = min((x for x in (least.get(root[k]), i) if x is not None), default=None)
+    return [least[root[k]] for k in range(len(rows))]
+
+
+def edits_of_edits():
+    """Chains of copies, each an edit of the one before, in an order that has nothing to do with the ids."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    texts = []
+    for _ in range(12):
+        words = [word() for _ in range(150)]
+        for _ in range(14):
+            texts.append(" ".join(words))
+            words = list(words)
+            for at in rng.sample(range(150), rng.choice([1, 1, 2, 3])):
+                words[at] = word()
+    rng.shuffle(texts)
+    return [*enumerate(texts, 1), (900, texts[3].upper()), (901, texts[3]), (None, texts[7]), (None, None), (902, "")]
+
+
+def test_wide_links_of_all_members(spark):
+    """A near copy of any member of a group joins it, not only one of its first text."""
+    rows = edits_of_edits()
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), wide_bits=7).collect()
+    want = every_pair(rows, 7)
+    assert sorted(((r.id, r.component_id) for r in got), key=repr) == sorted(((i, c) for (i, _), c in zip(rows, want, strict=True)), key=repr)
+    first = slow_wide([(i, t) for i, t in rows if i is not None and t], 7)
+    assert len(set(want)) < len(set(first.values()))
+
+
+def test_all_texts_of_a_fingerprint_are_compared(spark, monkeypatch):
+    """Different texts with one fingerprint: the link hangs on any of them."""
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words[::-1]), " ".join(words), " ".join([*words, "more"])
+    prints_of = {a: 0b1, b: 0b1, c: 0b111111}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle=3: F.when(text == c, F.lit(prints_of[c])).otherwise(F.lit(1)).cast("long"))
+    for rows in ([(1, a), (5, b), (9, c)], [(5, a), (1, b), (9, c)], [(1, a), (None, b), (9, c)]):
+        got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), wide_bits=7).collect()
+        assert {r.component_id for r in got} == {1}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(df).count() == 0
