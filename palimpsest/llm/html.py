@@ -1,8 +1,10 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped into lines, one per block. A line weighs its text without links, and nothing where the markup says
-that it is no article text (menus, footers, forms, adverts, comments and the like). Weights are summed over windows of
-lines; text is kept from the point where the sums surge to the point where they dive to nothing.
+Markup is stripped into lines, one per block. Lines where the markup says that they are no article text (menus, footers,
+forms, adverts, comments and the like) are empty. With an article element all of its text is kept, links too. Without
+one a line weighs its text outside links, weights are summed over windows of lines, and text is kept from the point where
+the sums surge to the point where they dive to nothing: once over all lines, and once without the empty lines that only
+nested tags make, so that a title or a short block in an element of its own stays with its neighbours.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ WINDOW = 3
 SURGE = 86
 
 _BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("nav header footer aside form menu dialog button select fieldset head object canvas svg audio video map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
@@ -61,19 +64,20 @@ def _no_article(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article or main element) of each block, in page order; blocks that are no
-    article text have an empty text."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """(text, characters outside links, inside an article or main element, heading, a block of its own without any text) of
+    each block, in page order; blocks that are no article text have an empty text."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, no article text, inside an article, inside a link
     off = inside = link = False
     linked = 0
+    opened = ""  # the block tag before, if it opened a block
 
-    def flush() -> None:
+    def flush(closed: str = "") -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        out.append((text, max(0, len(text) - linked), inside))
+        out.append((text, max(0, len(text) - linked), inside, any(s[0] in _HEADINGS for s in stack[-8:]), bool(closed) and not text and closed == opened))
         parts.clear()
         linked = 0
 
@@ -92,7 +96,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         tag = tag.lower()
         if tag in _BLOCKS:
-            flush()
+            flush(tag if m["close"] else "")
+            opened = "" if m["close"] else tag
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -112,19 +117,14 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def extract(page: str | None) -> str:
-    """The main text: blocks joined by one space; empty if there is none."""
-    if not page:
-        return ""
-    found = lines(page)
-    marked = any(inside and text for text, _, inside in found)
-    weight = [n if not marked or inside else 0 for _, n, inside in found]
+def _regions(weight: list[int]) -> list[tuple[int, int]]:
+    """(from, to) of the lines kept: windows from a surge to the dive."""
     sums, total = [], sum(weight[:WINDOW])
     for i in range(len(weight)):
         sums.append(total)
         total += (weight[i + WINDOW] if i + WINDOW < len(weight) else 0) - weight[i]
-    surge = 1 if marked else min(SURGE, max(1, (max(sums) + 1) // 2))
-    kept: list[str] = []
+    surge = min(SURGE, max(1, (max(sums, default=0) + 1) // 2))
+    out = []
     i = 0
     while i < len(sums):
         if sums[i] < surge:
@@ -134,9 +134,28 @@ def extract(page: str | None) -> str:
         while dive < len(sums) and sums[dive] > 0:
             dive += 1
         # A window that surges starts up to WINDOW - 1 empty lines early; they add nothing.
-        kept += [text for text, _, inside in found[i : dive + WINDOW - 1] if text and (inside or not marked)]
+        out.append((i, min(len(weight), dive + WINDOW - 1)))
         i = dive + WINDOW - 1
-    return " ".join(kept)
+    return out
+
+
+def extract(page: str | None) -> str:
+    """The main text: blocks joined by one space; empty if there is none."""
+    if not page:
+        return ""
+    found = lines(page)
+    if any(inside and text for text, _, inside, _, _ in found):
+        return " ".join(text for text, _, inside, _, _ in found if text and inside)
+    kept = {k for i, j in _regions([n for _, n, _, _, _ in found]) for k in range(i, j)}
+    full = [k for k, (text, _, _, _, empty) in enumerate(found) if text or empty]
+    for i, j in _regions([found[k][1] for k in full]):
+        # Links at the ends of a region are no part of it, but for a heading.
+        while i < j and not found[full[i]][1] and not found[full[i]][3]:
+            i += 1
+        while i < j and not found[full[j - 1]][1]:
+            j -= 1
+        kept.update(full[i:j])
+    return " ".join(found[k][0] for k in sorted(kept) if found[k][0])
 
 
 def main_text(page: Column) -> Column:

@@ -39,6 +39,22 @@ def test_line_blocks_without_an_article_element():
     assert html.extract(PAGE.replace("{}", body)) == " ".join(t.strip() for t in text)
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article><p>One.</p><ul><li><a href='/i'>Item</a></li></ul><p>Two.</p></article>", "One. Item Two."),
+        ("<article><header><h1><a href='/h'>Head</a></h1></header><div><p>x</p></div></article>", "Head x"),
+        ("<article><p>x</p><ul>" + "".join(f"<li><a href='/{k}'>l{k}</a></li>" for k in range(5)) + "</ul><p>y</p></article>", "x l0 l1 l2 l3 l4 y"),
+        ("<main><p>x</p>" + "".join(f"<p><a href='/{k}'>l{k}</a></p>" for k in range(3)) + "<p>y</p></main>", "x l0 l1 l2 y"),
+        (f"<div><h2>Short title</h2></div><div><p>{LONG * 2}</p></div>", f"Short title {LONG * 2}"),
+        (f"<div><p>{LONG * 2}</p></div><div><p>Short.</p></div><div><p>{LONG * 2}</p></div><div><p>The end.</p></div>", f"{LONG * 2}Short. {LONG * 2}The end."),
+        (f"<ul><li><a href='/'>menu</a></li></ul><div><h1><a href='/h'>Head</a></h1></div><div><div><p>{LONG * 2}</p></div></div>", f"Head {LONG * 2}"),
+    ],
+)
+def test_links_and_short_blocks_of_an_article_stay(body, want):
+    assert html.extract(PAGE.replace("{}", body)) == want.strip()
+
+
 def test_table(spark):
     rows = [(1, "u", "<article>é</article>", 3), (1, "u", "<article>é</article>", 3), (2, None, None, 3), (None, "v", "", 3), (3, "w", "<article><p>" + "long text " * 200_000 + "</p></article>", 3)]
     got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
