@@ -2,7 +2,8 @@
 
 A neighbour graph of a bounded sample is cut into balanced parts with few edges between them; a small network learns
 in which parts a vector and its neighbours lie. Every row is indexed in its most probable part; a query is compared
-with the rows of its most probable parts, as many as a held-out share of the sample needs for the wanted recall.
+with the rows of its most probable parts, as many as a held-out share of the sample needs for the wanted recall, and of
+further ones until they hold enough rows.
 """
 
 from __future__ import annotations
@@ -39,6 +40,14 @@ class Router:
     def parts(self, vectors: np.ndarray, k: int) -> np.ndarray:
         return np.argsort(-self.log_probs(unit(vectors)), axis=1, kind="stable")[:, :k]
 
+    def probed(self, vectors: np.ndarray, held: dict[int, int], need: int) -> list[np.ndarray]:
+        """The parts with rows (``held``: their number) among the ``probes`` most probable ones of each vector, and further
+        ones by falling probability until they hold ``need`` rows."""
+        order = self.parts(vectors, self.w2.shape[1])
+        n = np.array([held.get(p, 0) for p in range(self.w2.shape[1])], dtype=np.int64)[order]
+        take = (n > 0) & ((np.arange(n.shape[1]) < self.probes) | (np.cumsum(n, axis=1) - n < need))
+        return [o[t] for o, t in zip(order, take, strict=True)]
+
 
 def unit(v: np.ndarray) -> np.ndarray:
     # The scale goes first, so that squares neither overflow nor vanish.
@@ -189,21 +198,24 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     router = learn(_matrix(sample.column(0)), parts, k=k)
     shared = spark.sparkContext.broadcast(router)
 
-    def route(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch], parts_of) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = shared.value.parts(_matrix(b.column(1)), probes) if len(b) else np.zeros((0, probes), int)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "v", "parts"])
+            parts = [p.tolist() for p in parts_of(shared.value, _matrix(b.column(1)))] if len(b) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.list_(pa.int32()))], names=["id", "v", "parts"])
 
     schema = "id long, v array<double>, parts array<int>"
-    homes = written(rows.mapInArrow(lambda it: route(it, 1), schema).select("id", "v", F.col("parts")[0].alias("part")), "homes")
+    homes = written(rows.mapInArrow(lambda it: route(it, lambda r, x: r.parts(x, 1)), schema).select("id", "v", F.col("parts")[0].alias("part")), "homes")
     queries = rows.filter(F.col("id") % every == 0)
     held = {r.part: r.n for r in homes.groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = F.create_map(*(x for p, n in held.items() for x in (F.lit(p), F.lit(-(-n // ROWS)))))
-    groups = max(1, -(-queries.count() // QUERIES))
+    asked = queries.groupBy("id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    # A query is no neighbour of the rows with its own id.
+    need = k + (asked.most or 1)
+    groups = max(1, -(-(asked.n or 0) // QUERIES))
     spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     c = homes.withColumn("block", spread(blocks[F.col("part")])).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    q = queries.mapInArrow(lambda it: route(it, router.probes), schema).withColumn("group", spread(F.lit(groups)))
-    q = q.select("id", "v", "group", F.explode("parts").alias("part")).filter(F.col("part").isin(list(held)))
+    q = queries.mapInArrow(lambda it: route(it, lambda r, x: r.probed(x, held, need)), schema).withColumn("group", spread(F.lit(groups)))
+    q = q.select("id", "v", "group", F.explode("parts").alias("part"))
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:

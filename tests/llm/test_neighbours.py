@@ -75,6 +75,16 @@ def test_few_rows(spark, rows):
     assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 0
 
 
+@pytest.mark.parametrize("again", [0, 3])
+def test_small_parts_are_no_end(spark, monkeypatch, again):
+    """A query whose parts hold fewer than five other rows is compared with those of further parts."""
+    side = np.array([[9.0, -9.0, 0.0], [0.0, 0.0, 0.0]])
+    monkeypatch.setattr(neighbours, "learn", lambda *a, **how: neighbours.Router(side, np.zeros(3), np.eye(3), np.zeros(3), 1))
+    rows = [(50, [-1.0, 0.5]), *((50, [-1.0, 0.1 * k]) for k in range(again)), (51, [-1.0, 0.2]), *((k, [1.0, 0.1 * k]) for k in range(1, 12))]
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5] and 51 in {r.vec_id for r in got} and 50 not in {r.vec_id for r in got}
+
+
 def test_parts_are_balanced():
     x = neighbours.unit(clustered(1000, seed=3).astype(np.float64))
     near = neighbours._nearest(x, x, 10, True)
