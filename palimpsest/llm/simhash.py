@@ -26,36 +26,62 @@ SEED = 42
 CHUNK = 1 << 15
 
 
-def simhash(data: bytes | None, shingle: int = 3) -> int:
-    """Fingerprint of a UTF-8 text as an unsigned integer; 0 without words."""
+def _remixed(h: np.ndarray, times: int) -> np.ndarray:
+    """Other hashes made of 64-bit hashes: ``times`` rounds of a bijective mixer, in which every bit depends on all."""
+    for _ in range(times):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def simhashes(data: bytes | None, shingle: int = 3, prints: int = 1) -> list[int]:
+    """``prints`` fingerprints of a UTF-8 text as unsigned integers; zeros without words.
+
+    The first is made of the shingles' hashes, each further one of the same hashes mixed once more.
+    """
     words = data.lower().split() if data else []
     if not words:
-        return 0
+        return [0] * prints
     text = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     if n == 1:
-        return xxhash.xxh64_intdigest(text, SEED)
+        h = np.array([xxhash.xxh64_intdigest(text, SEED)], dtype=np.uint64)
+        return [int(_remixed(h, k)[0]) for k in range(prints)]
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     digest, seed, ends = xxhash.xxh64_intdigest, SEED, ends.tolist()
-    counts = np.zeros(BITS, dtype=np.int64)
+    counts = np.zeros((prints, BITS), dtype=np.int64)
     for at in range(0, n, CHUNK):
         to = min(n, at + CHUNK)
         h = np.array([digest(text[s:e], seed) for s, e in zip(starts[at:to], ends[at + shingle - 1 : to + shingle - 1], strict=True)], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+        for k in range(prints):
+            h = _remixed(h, 1) if k else h
+            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return [int.from_bytes(np.packbits(c * 2 > n, bitorder="little").tobytes(), "little") for c in counts]
 
 
-def fingerprint(text: Column, shingle: int = 3) -> Column:
-    """The fingerprint of a text column as a signed long (the same 64 bits)."""
+def simhash(data: bytes | None, shingle: int = 3) -> int:
+    """Fingerprint of a UTF-8 text as an unsigned integer; 0 without words."""
+    return simhashes(data, shingle)[0]
+
+
+def fingerprints(text: Column, shingle: int = 3, prints: int = 1) -> Column:
+    """The fingerprints of a text column as an array of signed longs (the same 64 bits)."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(np.array([simhash(x.as_py(), shingle) for x in batch], dtype=np.uint64).view(np.int64))
+            found = np.array([simhashes(x.as_py(), shingle, prints) for x in batch], dtype=np.uint64).view(np.int64)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * prints), pa.array(found.ravel()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "long")(text.cast("binary"))
+    return F.arrow_udf(run, "array<long>")(text.cast("binary"))
+
+
+def fingerprint(text: Column, shingle: int = 3) -> Column:
+    """The fingerprint of a text column as a signed long."""
+    return fingerprints(text, shingle)[0]
 
 
 # --- the plan: partitions of bits and their thresholds ---
@@ -132,16 +158,19 @@ def allocate(costs: np.ndarray, budget: int) -> tuple[float, list[int]]:
     return reach[budget + m]
 
 
-#: Cost of a verified candidate pair, of a probed key and of an indexed key.
-CANDIDATE, PROBE, INDEX = 1.0, 1.0, 1.0
+#: Cost of a compared candidate pair (two rows that meet in a join), of a probed key and of an indexed key (rows that are
+#: shuffled and sorted).
+CANDIDATE, PROBE, INDEX = 0.25, 1.0, 1.0
 
 
-def plan(prints: DataFrame, max_bits: int, most_parts: int = 4) -> list[tuple[list[int], int]]:
+def plan(prints: DataFrame, max_bits: int, apart: str | None = None, most_parts: int = 4) -> list[tuple[list[int], int]]:
     """[(bits, threshold)]: a pair within ``max_bits`` is within the threshold of at least one group of bits.
 
     m groups whose thresholds sum to max_bits - m + 1 have that property. Candidate counts come from statistics of
-    all fingerprints: the exact number of pairs with equal bits in a group, carried on to larger distances by the
-    distribution of independent bits with the measured chances.
+    all fingerprints: the exact number of pairs with equal bits in a group, and for larger distances those that
+    independent bits with the measured chances make besides. (Pairs of one cluster have equal bits; multiplying them
+    as well would make a large cluster look like a large corpus.) With ``apart`` only pairs with different values in
+    that column count.
     """
     n, both = _both_set(prints)
     if n < 2:
@@ -149,7 +178,11 @@ def plan(prints: DataFrame, max_bits: int, most_parts: int = 4) -> list[tuple[li
     options = {m: group_bits(n, both, m) for m in range(2, min(most_parts, max_bits + 1) + 1)}
     groups = [(m, i, mask(g)) for m, gs in options.items() for i, g in enumerate(gs)]
     keys = F.explode(F.array(*(F.struct(F.lit(k).alias("g"), F.col("fp").bitwiseAND(F.lit(x[2])).alias("key")) for k, x in enumerate(groups)))).alias("x")
-    pairs = prints.select(keys).groupBy("x.g", "x.key").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum(F.expr("cast(n as double) * (n - 1) / 2")).alias("pairs"))
+    if apart:
+        by = prints.select(keys, apart).groupBy("x.g", "x.key", apart).agg(F.count("*").cast("double").alias("n")).groupBy("g", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    else:
+        by = prints.select(keys).groupBy("x.g", "x.key").agg(F.count("*").cast("double").alias("n")).withColumn("own", F.col("n"))
+    pairs = by.groupBy("g").agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"))
     same = {groups[r.g][:2]: r.pairs for r in pairs.collect()}
     p, best = np.diag(both) / n, None
     for m, gs in options.items():
@@ -158,7 +191,7 @@ def plan(prints: DataFrame, max_bits: int, most_parts: int = 4) -> list[tuple[li
             chance = within(p[g], max_bits)
             for t in range(max_bits + 1):
                 probes = 1 + len(g) / 2 if t == 1 else sum(comb(len(g), k) for k in range(t + 1))
-                found = max(same[m, i], n * (n - 1) / 2 * chance[0]) * chance[t] / max(chance[0], 1e-300)
+                found = same[m, i] + n * (n - 1) / 2 * (chance[t] - chance[0])
                 costs[i, t + 1] = CANDIDATE * found + n * (PROBE * probes + INDEX)
         cost, chosen = allocate(costs, max_bits - m + 1)
         if best is None or cost < best[0]:
@@ -173,18 +206,24 @@ def mask(bits: list[int]) -> int:
 
 
 def _keyed(flips: Column, key: Column, part: int) -> Column:
-    return F.transform(flips, lambda b: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(b).alias("key")))
+    return F.transform(flips, lambda b: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(b).alias("key"), (b != 0).alias("flipped")))
+
 
+def links(prints: DataFrame, max_bits: int, parts: list[tuple[list[int], int]], apart: str | None = None, node: str = "fp", besides: str | None = None) -> DataFrame:
+    """(u, v): all pairs of rows whose fingerprints (column fp) differ in 1 to ``max_bits`` bits, by their values in column
+    ``node``, each once if the rows are distinct.
 
-def links(prints: DataFrame, max_bits: int, parts: list[tuple[list[int], int]], apart: str | None = None) -> DataFrame:
-    """(u, v): all pairs of the distinct fingerprints in column fp that differ in 1 to ``max_bits`` bits, each once; with
-    ``apart`` only those with different values in that column.
+    With ``apart`` (u, v, of_u, of_v): only pairs with different values in that column, which are of_u and of_v, and
+    those with equal fingerprints too. ``besides``: a column of other fingerprints (array); pairs of which one of these is
+    within ``max_bits`` are left out.
 
     A side offers its own bits of a partition, the other side its bits with up to ``threshold`` of them flipped. At
-    threshold 1 only zeros are flipped to ones: of two keys one bit apart, one has a zero there.
+    threshold 1 only zeros are flipped to ones: of two keys one bit apart, one has a zero there. A pair is made in the
+    first partition in which it is within the threshold and nowhere else, so no pairs are made to be made distinct.
     """
     fp = F.col("fp")
-    offered, probed = [], []
+    offered, probed, first = [], [], F.lit(True)
+    differ = F.col("fp_u").bitwiseXOR(F.col("fp_v"))
     for k, (bits, threshold) in enumerate(parts):
         key = fp.bitwiseAND(F.lit(mask(bits)))
         offered.append(F.struct(F.lit(k).alias("part"), key.alias("key")))
@@ -194,13 +233,20 @@ def links(prints: DataFrame, max_bits: int, parts: list[tuple[list[int], int]],
         else:
             flips = F.array(*(F.lit(mask(list(c))) for t in range(threshold + 1) for c in combinations(bits, t)))
         probed.append(_keyed(flips, key, k))
-    of_u, of_v = ([F.col(apart).alias("of_u")], [F.col(apart).alias("of_v")]) if apart else ([], [])
-    left = prints.select(fp.alias("u"), *of_u, F.explode(F.array(*offered)).alias("x")).select("u", *(["of_u"] if apart else []), "x.part", "x.key")
-    right = prints.select(fp.alias("v"), *of_v, F.explode(F.concat(*probed)).alias("x")).select("v", *(["of_v"] if apart else []), "x.part", "x.key")
-    found = left.join(right, ["part", "key"]).filter((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits))
-    if apart:
-        found = found.filter("of_u <> of_v")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        first = first & ((F.col("part") <= k) | (F.bit_count(differ.bitwiseAND(F.lit(mask(bits)))) > threshold))
+    # Pairs with equal keys, and those whose flips go both ways, meet from both sides.
+    both_ways = F.col("flipped") & F.col("part").isin([k for k, (_, t) in enumerate(parts) if t <= 1])
+    wanted = (F.col("of_u") != F.col("of_v")) & (F.bit_count(differ) <= max_bits) & first & (both_ways | (F.col("u") < F.col("v")))
+    if besides:
+        wanted = wanted & F.forall(F.zip_with("be_u", "be_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), lambda n: n > max_bits)
+    names = lambda x: [F.col(node).alias(x), fp.alias(f"fp_{x}"), F.col(apart or "fp").alias(f"of_{x}"), *([F.col(besides).alias(f"be_{x}")] if besides else [])]
+    kept = lambda x: [x, f"fp_{x}", f"of_{x}", *([f"be_{x}"] if besides else []), "x.*"]
+    left = prints.select(*names("u"), F.explode(F.array(*offered)).alias("x")).select(*kept("u"))
+    right = prints.select(*names("v"), F.explode(F.concat(*probed)).alias("x")).select(*kept("v"))
+    found = left.join(right, ["part", "key"]).filter(wanted)
+    turned = F.col("u") > F.col("v")
+    pair = lambda x, y: [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x), F.when(turned, F.col(x)).otherwise(F.col(y)).alias(y)]
+    return found.select(*pair("u", "v"), *(pair("of_u", "of_v") if apart else []))
 
 
 def _shingle_set(text: Column, shingle: int) -> Column:
@@ -221,23 +267,35 @@ def _shingle_set(text: Column, shingle: int) -> Column:
     return F.arrow_udf(run, "array<long>")(text.cast("binary"))
 
 
-def _alike(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, classes: DataFrame, bits: int, similarity: float, shingle: int) -> DataFrame:
-    """(u, v): fingerprints of different classes (fp, root) that differ in at most ``bits`` bits and belong to two texts, one
-    of each, that share ``similarity`` of their shingles.
+def _near(rows: DataFrame, classes: DataFrame, bits: int, prints: int) -> DataFrame:
+    """(u, v, of_u, of_v): fingerprints (the first ones) of different classes, and these, of which some of the ``prints``
+    fingerprints of two texts differ in at most ``bits`` bits."""
+    out = links(classes, bits, plan(classes, bits, "root"), "root")
+    for k in range(1, prints):
+        own = rows.select(F.col("fp").alias("node"), F.slice(F.concat(F.array("fp"), "more"), 1, k).alias("before"), F.col("more")[k - 1].alias("value")).distinct()
+        own = own.join(classes.select(F.col("fp").alias("node"), "root"), "node")
+        own = written(own.select("node", "before", F.col("value").alias("fp"), "root"), "prints")
+        out = out.unionByName(links(own, bits, plan(own, bits, "root"), "root", "node", "before"))
+    return written(out, "near")
 
-    All different texts of both fingerprints are compared; equal ones (rows: id, fp, text_hash) come once.
-    """
-    near = written(links(classes, bits, plan(classes, bits), "root"), "near")
-    asked = rows.join(near.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp").groupBy("fp", "text_hash").agg(F.min("id").alias("__rep"))
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """(fp, set, n): the shingle sets of all different texts of the fingerprints in ``asked`` (fp); equal texts (rows: id, fp,
+    text_hash) are read once, and texts that differ in nothing but case and space have one set."""
+    asked = rows.join(asked, "fp").groupBy("fp", "text_hash").agg(F.min("id").alias("__rep"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("__hash", F.xxhash64("text"))
     texts = texts.join(asked.hint("merge"), (F.col("__hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("__rep")))
-    # Texts that differ in nothing but case and space have one set.
-    sets = written(texts.select("fp", _shingle_set(F.col("text"), shingle).alias("set")).distinct().withColumn("n", F.size("set")).filter("n > 0"), "sets")
+    return written(texts.select("fp", _shingle_set(F.col("text"), shingle).alias("set")).distinct().withColumn("n", F.size("set")).filter("n > 0"), "sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs of fingerprints (u, v) that belong to two texts, one of each, which share ``similarity`` of their
+    shingles. All texts of both are compared."""
     # Sets so different in size that they can't be alike are left out before any set is moved.
     sizes = sets.groupBy("fp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     side = lambda x: sizes.select(F.col("fp").alias(x), F.col("least_n").alias(f"least_{x}"), F.col("most_n").alias(f"most_{x}"))
     share = F.lit(similarity)
-    pairs = near.join(side("u"), "u").join(side("v"), "v").filter((F.col("most_u") >= share * F.col("least_v")) & (F.col("most_v") >= share * F.col("least_u"))).select("u", "v")
+    pairs = pairs.join(side("u"), "u").join(side("v"), "v").filter((F.col("most_u") >= share * F.col("least_v")) & (F.col("most_v") >= share * F.col("least_u"))).select("u", "v")
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("su"), F.col("n").alias("nu")), "u")
     both = both.join(sets.select(F.col("fp").alias("v"), F.col("set").alias("sv"), F.col("n").alias("nv")), "v")
     both = both.filter((F.col("nu") >= share * F.col("nv")) & (F.col("nv") >= share * F.col("nu")))
@@ -245,6 +303,26 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, classes
     return both.filter(shared >= share * (F.col("nu") + F.col("nv") - shared)).select("u", "v").distinct()
 
 
+def _widened(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, prints: DataFrame, classes: DataFrame, bits: int, of: int, similarity: float, shingle: int) -> DataFrame:
+    """The classes after linking what is near by any of ``of`` fingerprints and alike.
+
+    One pair of each two classes is verified first; as classes that it joins need no other link, only pairs whose
+    classes are still different are verified then, all of them. So no link is lost, and two large groups that touch
+    cost one verification instead of one for each pair of members.
+    """
+    near = _near(rows, classes, bits, of)
+    sets = _sets(docs, id_col, text_col, rows, near.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), shingle)
+    for first in (True, False):
+        if first:
+            pairs = near.groupBy(F.least("of_u", "of_v"), F.greatest("of_u", "of_v")).agg(F.min(F.struct("u", "v")).alias("x")).select("x.u", "x.v")
+        else:
+            root = lambda x: classes.select(F.col("fp").alias(x), F.col("root").alias(f"now_{x}"))
+            pairs = near.select("u", "v").join(root("u"), "u").join(root("v"), "v").filter("now_u <> now_v").select("u", "v").distinct()
+        within_class = classes.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+        classes = _classes(prints, within_class.unionByName(_alike(pairs, sets, similarity)))
+    return classes
+
+
 def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, root, component_id) of all fingerprints (fp, least) for links between them."""
     roots = connected_components(edges)
@@ -258,45 +336,49 @@ def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
     return written(every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "classes")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, wide_bits: int | None = None, similarity: float = 0.8, verify_shingle: int = 5) -> DataFrame:
-    """One row per input row: (id, fp, component_id, root).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, wide_bits: int | None = None, prints: int = 1, similarity: float = 0.8, verify_shingle: int = 5) -> DataFrame:
+    """One row per input row: (id, fp, component_id, root, text_hash).
 
     Rows link if their fingerprints differ in at most ``max_bits`` bits; component_id is the smallest id that can
     be reached over links, root the smallest fingerprint. With ``wide_bits`` rows are also linked if their fingerprints
-    are that near and their texts share ``similarity`` of their ``verify_shingle``-word shingles.
+    are that near, or any of ``prints`` - 1 further ones made of the same shingles, and their texts share ``similarity``
+    of their ``verify_shingle``-word shingles.
 
     Rows are folded to distinct fingerprints first, so exact copies never meet in a join, and only links between
     different fingerprints are searched. A null text has fingerprint 0, as an empty one; all of these link. A null id
-    stays null and counts for no minimum (component_id is null where all ids are). Repeated rows are all returned.
-    Other columns are not read.
+    stays null and counts for no minimum (component_id is null where all ids are). Repeated rows are all returned;
+    very long texts are hashed whole, in pieces; an empty table gives none. Other columns are not read, whatever they
+    are called.
     """
     text = F.col(text_col)
-    rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(text, shingle).alias("fp"), F.xxhash64(text).alias("text_hash")), "simhash")
-    prints = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    classes = _classes(prints, links(prints, max_bits, plan(prints, max_bits)))
+    prints = prints if wide_bits is not None else 1
+    rows = docs.select(F.col(id_col).alias("id"), fingerprints(text, shingle, prints).alias("fps"), F.xxhash64(text).alias("text_hash"))
+    rows = rows.select("id", F.col("fps")[0].alias("fp"), F.slice("fps", 2, max(prints - 1, 1)).alias("more"), "text_hash")
+    rows = written(rows if prints > 1 else rows.drop("more"), "simhash")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    classes = _classes(distinct, links(distinct, max_bits, plan(distinct, max_bits)))
     if wide_bits is not None:
-        more = _alike(docs, id_col, text_col, rows, classes, wide_bits, similarity, verify_shingle)
-        within_class = classes.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
-        classes = _classes(prints, within_class.unionByName(more))
-    return rows.join(classes, "fp").select("id", "fp", "component_id", "root")
+        classes = _widened(docs, id_col, text_col, rows, distinct, classes, wide_bits, prints, similarity, verify_shingle)
+    return rows.join(classes, "fp").select("id", "fp", "component_id", "root", "text_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, without those that a near-duplicate with a smaller id stands for.
 
-    ``how``: as for :func:`near_duplicates`. Of repeated rows of the id that stays, one stays. A group in which every id
-    is null keeps one row of its smallest fingerprint.
+    ``how``: as for :func:`near_duplicates`. One row of each group stays: one with its smallest id, and if several texts
+    of the group or repeated rows have that id, one of them. A group in which every id is null keeps one row as well.
     """
     found = near_duplicates(docs, id_col, text_col, **how)
-    kept = written(found.filter("id = component_id").groupBy("id").agg(F.count("*").alias("__keep_n")).withColumnRenamed("id", "__keep_id"), "kept")
+    mine = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
+    texts = found.filter(mine).groupBy("root", "id", "text_hash").agg(F.count("*").alias("n"))
+    one = texts.groupBy("root", "id").agg(F.min(F.struct("text_hash", "n")).alias("x"))
+    # Equal texts have one fingerprint, so an id and a text are in one group only.
+    kept = written(one.select(F.col("id").alias("__keep_id"), F.col("x.text_hash").alias("__keep_hash"), F.col("x.n").alias("__keep_n")), "kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
     # Ids kept grow with the documents: the join is a shuffled one at every size.
-    with_id = docs.join(kept.hint("merge"), F.col(id_col) == F.col("__keep_id"))
-    out = with_id.filter("__keep_n = 1").select(*names)
+    row = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"))
+    row = row.join(kept.hint("merge"), (F.col("__hash") == F.col("__keep_hash")) & F.col("__id").eqNullSafe(F.col("__keep_id")))
+    out = row.filter("__keep_n = 1").select("row.*")
     if kept.filter("__keep_n > 1").limit(1).count():
-        out = out.unionByName(with_id.filter("__keep_n > 1").dropDuplicates([id_col]).select(*names))
-    if found.filter("id is null").limit(1).count():
-        alone = found.filter("component_id is null and fp = root").select(F.col("fp").alias("__keep_fp")).distinct()
-        nulls = docs.filter(F.col(id_col).isNull()).withColumn("__keep_of", fingerprint(F.col(text_col), how.get("shingle", 3)))
-        out = out.unionByName(nulls.join(alone, F.col("__keep_of") == F.col("__keep_fp")).dropDuplicates(["__keep_of"]).select(*names))
+        out = out.unionByName(row.filter("__keep_n > 1").dropDuplicates(["__hash", "__id"]).select("row.*"))
     return out

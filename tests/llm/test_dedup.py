@@ -187,7 +187,7 @@ def test_wide_links_are_verified(spark):
             rows.append((10 * i + k + 1, " ".join(copy)))
     df = spark.createDataFrame([*rows, (10**6, None), (None, None)], DOCS)
     got = {r.id: r.component_id for r in simhash.near_duplicates(df, wide_bits=8).collect() if r.id is not None}
-    assert got == slow_wide(rows, 8) | {10**6: 10**6}
+    assert got == dict(zip((i for i, _ in rows), every_pair(rows, 8), strict=True)) | {10**6: 10**6}
     narrow = {r.id: r.component_id for r in simhash.near_duplicates(df).collect() if r.id is not None}
     assert len(set(got.values())) < len(set(narrow.values()))
 
@@ -238,12 +238,38 @@ def test_wide_links_of_all_members(spark):
     assert len(set(want)) < len(set(first.values()))
 
 
+@pytest.mark.parametrize("prints", [2, 3])
+def test_further_fingerprints_add_links(spark, prints):
+    """Texts link if any of their fingerprints are near and they are alike."""
+    rows = edits_of_edits()
+    fps = [simhash.simhashes((t or "").encode(), 3, prints) for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    found = []
+    for x, y in combinations(range(len(rows)), 2):
+        d = [(a ^ b).bit_count() for a, b in zip(fps[x], fps[y], strict=True)]
+        if d[0] <= 3 or (min(d) <= 6 and sets[x] and sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])):
+            found.append((x, y))
+    root, least = groups(range(len(rows)), found), {}
+    for k, (i, _) in enumerate(rows):
+        least[root[k]] = min((x for x in (least.get(root[k]), i) if x is not None), default=None)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), wide_bits=6, prints=prints).collect()
+    assert sorted(((r.id, r.component_id) for r in got), key=repr) == sorted(((i, least[root[k]]) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def test_one_row_of_a_group_stays_for_repeated_ids(spark):
+    """One id with texts of two groups, a repeated row, and two texts of one group with one id."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (1, long), (1, "quite another text with its own words"), (2, long), (5, "the third"), (5, "THE third"), (None, "x y z"), (None, "x y z")]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(((i, t.lower()) for i, t in got), key=repr) == sorted([(1, long), (1, "quite another text with its own words"), (5, "the third"), (None, "x y z")], key=repr)
+
+
 def test_all_texts_of_a_fingerprint_are_compared(spark, monkeypatch):
     """Different texts with one fingerprint: the link hangs on any of them."""
     words = [f"w{k}" for k in range(60)]
     a, b, c = " ".join(words[::-1]), " ".join(words), " ".join([*words, "more"])
     prints_of = {a: 0b1, b: 0b1, c: 0b111111}
-    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle=3: F.when(text == c, F.lit(prints_of[c])).otherwise(F.lit(1)).cast("long"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda text, shingle=3, prints=1: F.array(F.when(text == c, F.lit(prints_of[c])).otherwise(F.lit(1)).cast("long")))
     for rows in ([(1, a), (5, b), (9, c)], [(5, a), (1, b), (9, c)], [(1, a), (None, b), (9, c)]):
         got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), wide_bits=7).collect()
         assert {r.component_id for r in got} == {1}
