@@ -14,8 +14,9 @@ from palimpsest.llm.common import written
 
 #: A document of which less than this share of n-grams belongs to its best language is in none of the languages.
 LEAST_SCORE = 0.3
-#: Fingerprints that are looked at for near copies with a similarity of 0.8 or more.
-WIDE_BITS = 7
+#: Texts are looked at for near copies with a similarity of 0.8 or more if one of PRINTS fingerprints differs in at most so
+#: many bits. Two texts that similar are that near by a single fingerprint in some six of ten cases.
+WIDE_BITS, PRINTS = 7, 2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates.
 
-    Fingerprints within 3 bits link as they are; within WIDE_BITS, if the texts share 0.8 of their five-word shingles.
+    Fingerprints within 3 bits link as they are; texts of which any of PRINTS fingerprints are within WIDE_BITS, if they
+    share 0.8 of their five-word shingles. Nulls and empty texts are one group; see :func:`simhash.keep_one` for null and
+    repeated ids.
     """
-    return simhash.keep_one(docs, wide_bits=WIDE_BITS)
+    return simhash.keep_one(docs, wide_bits=WIDE_BITS, prints=PRINTS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
