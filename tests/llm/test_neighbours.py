@@ -76,15 +76,44 @@ def test_few_rows(spark, rows):
 
 
 @pytest.mark.parametrize("again", [0, 3])
-def test_small_parts_are_no_end(spark, monkeypatch, again):
+def test_small_parts_are_no_end(spark, again):
     """A query whose parts hold fewer than five other rows is compared with those of further parts."""
     side = np.array([[9.0, -9.0, 0.0], [0.0, 0.0, 0.0]])
-    monkeypatch.setattr(neighbours, "learn", lambda *a, **how: neighbours.Router(side, np.zeros(3), np.eye(3), np.zeros(3), 1))
+    index = neighbours.Index(neighbours.Router(side, np.zeros(3), np.eye(3), np.zeros(3)))
     rows = [(50, [-1.0, 0.5]), *((50, [-1.0, 0.1 * k]) for k in range(again)), (51, [-1.0, 0.2]), *((k, [1.0, 0.1 * k]) for k in range(1, 12))]
-    got = neighbours.search(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA), index=index).collect()
     assert sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5] and 51 in {r.vec_id for r in got} and 50 not in {r.vec_id for r in got}
 
 
+def test_recall_outside_the_sample(spark, monkeypatch):
+    """Two levels, learned from a tenth of the rows; a cluster of three far from all others gets whole answers."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 1000)
+    monkeypatch.setattr(neighbours, "HELD_OUT", 1000)
+    monkeypatch.setattr(neighbours, "MOST", 16)
+    x = clustered(10_000, seed=4)
+    x[[0, 50, 77]] = 40 + np.arange(96).reshape(3, 32) % 7
+    ids = np.arange(len(x))
+    got, want = found(neighbours.search(frame(spark, ids, x))), slow(ids, x.astype(np.float64))
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 5 * len(want)
+
+
+def test_one_id_with_many_vectors(spark):
+    """It is one candidate and one query; nobody loses an answer to its copies."""
+    x = clustered(400, seed=6)
+    ids = np.where(np.arange(400) % 3 == 0, 50, np.arange(400) + 1000)
+    got = found(neighbours.search(frame(spark, ids, x), parts=8))
+    u = neighbours.unit(x.astype(np.float64))
+    assert set(got) == {int(i) for i in ids if i % 50 == 0}
+    for q, answer in got.items():
+        best = {}
+        for a in np.flatnonzero(ids == q):
+            for b in np.flatnonzero(ids != q):
+                best[int(ids[b])] = max(best.get(int(ids[b]), -2), float(u[a] @ u[b]))
+        assert len({i for i, _ in answer}) == 5 and all(s == pytest.approx(best[i], abs=1e-12) for i, s in answer)
+
+
 def test_parts_are_balanced():
     x = neighbours.unit(clustered(1000, seed=3).astype(np.float64))
     near = neighbours._nearest(x, x, 10, True)
