@@ -11,10 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import as_text
+
+#: Longer runs of white space are encoded apart: the pattern's look-ahead goes back over a run, and its stack is bounded.
+LONG_RUN = 4096
+_RUN = regex.compile(rf"\p{{White_Space}}{{{LONG_RUN},}}")
+
 #: start: the section of the token's first character; majority: the section with most of its characters, the first of
 #: equals; split: to each section the share of its characters.
 RULES = ("start", "majority", "split")
@@ -28,6 +35,21 @@ def ranks_of(path: str | None = None) -> tuple[dict[bytes, int], str]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, public_tokenizers.PATTERN
 
 
+def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Token ids of a whole text of any content.
+
+    The pattern takes a run of white space as one piece but for its last character, which may belong to the word
+    after it; a run that ends the text is one piece. So a long run can be cut out and encoded as that piece.
+    """
+    ids, at = [], 0
+    for m in _RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += encoding.encode_ordinary(text[at : m.start()])
+        ids += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def spans(text: str, ids: list[int], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character and the one after the last of each token; a token with part of a character holds it whole."""
     ends = np.cumsum(lengths[np.array(ids, dtype=np.int64)])
@@ -72,7 +94,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, section, start_char, end_char, n_tokens) for every section of every row.
 
     Sections are the pieces of the text up to and with each separator. A null or empty text has one empty section
-    without tokens. Repeated rows are all returned. Whole texts are encoded; a row's result is made from that row alone.
+    without tokens. Repeated rows are all returned, an empty table gives none. Whole texts are encoded, very long ones and
+    those of a single run of blanks, letters or digits too; a row's result is made from that row alone. With "majority"
+    the first of sections with equally many characters of a token gets it. Bytes that aren't UTF-8 count as U+FFFD. Other
+    columns are not read, whatever they are called.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -88,10 +113,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             offsets, cols = [0], ([], [], [], [])
             for x in batch:
-                text = x.as_py() or ""
+                text = as_text(x) or ""
                 bounds = section_bounds(text, separator)
                 n = len(bounds) - 1
-                counts = attribute(*spans(text, encoding.encode_ordinary(text), lengths), bounds, rule) if text else np.zeros(1)
+                counts = attribute(*spans(text, encode(encoding, text), lengths), bounds, rule) if text else np.zeros(1)
                 for c, part in zip(cols, (np.arange(n, dtype=np.int32), bounds[:-1], bounds[1:], counts), strict=True):
                     c.append(part)
                 offsets.append(offsets[-1] + n)
@@ -100,5 +125,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    d = docs.select(F.col(id_col).alias("id"), F.explode(F.arrow_udf(run, _SECTIONS)(F.col(text_col))).alias("s"))
+    d = docs.select(F.col(id_col).alias("id"), F.explode(F.arrow_udf(run, _SECTIONS)(F.col(text_col).cast("binary"))).alias("s"))
     return d.select("id", "s.*")

@@ -70,3 +70,22 @@ def test_attribution_over_three_sections():
     assert tc.attribute(start, end, bounds, "start").tolist() == [2, 0, 1]
     assert tc.attribute(start, end, bounds, "majority").tolist() == [1, 0, 2]
     assert tc.attribute(start, end, bounds, "split").tolist() == [1.25, 0.25, 1.5]
+
+
+@pytest.mark.parametrize("text", [" " * 5000 + "x", "a \n" + "\n" * 6000 + "b", "x" + " \t" * 4000 + " y z", " " * 9000, "w" + "　" * 5000 + "é", "a" + "\n" * 4096 + " " * 4096 + " b"])
+def test_long_runs_are_cut_where_the_pattern_cuts(encoding, text):
+    assert tc.encode(encoding, text) == encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, " " * 1_000_000 + "x", "a" * 2_000_000, "7" * 2_000_000, "\n" * 1_000_000 + " b"])
+def test_very_long_runs_do_not_crash(encoding, text):
+    ids = tc.encode(encoding, text)
+    assert encoding.decode(ids) == text
+    assert sum(len(encoding.decode_single_token_bytes(i)) for i in ids) == len(text)
+
+
+def test_blanks_bytes_and_empty_tables(spark):
+    df = spark.sql("select 1L doc_id, concat(repeat(' ', 1000000), 'x') text union all select 2L, cast(unhex('61FF0A62') as string)")
+    got = sorted((r.id, r.section, r.start_char, r.end_char) for r in tc.token_counts(df).collect())
+    assert got == [(1, 0, 0, 1_000_001), (2, 0, 0, 3), (2, 1, 3, 4)]
+    assert tc.token_counts(spark.createDataFrame([], DOCS)).count() == 0
