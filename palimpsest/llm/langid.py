@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import as_text
+
 #: Bytes of an n-gram; its id is those bytes, so different n-grams never share one.
 N = 4
 SLOTS_LOG2 = 20
@@ -54,11 +56,13 @@ def _text_grams(text: str) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """slots[s][p]: bits of languages 64 s to 64 s + 63 at slot p; rates: false positive rate by language."""
+    """slots[s][p]: bits of languages 64 s to 64 s + 63 at slot p; rates: false positive rate by language; usual: the place
+    of the language with the most n-grams, which stands for texts that say nothing."""
 
     languages: list[str]
     slots: list[np.ndarray]
     rates: np.ndarray
+    usual: int = 0
 
 
 def _places(ids: np.ndarray) -> list[np.ndarray]:
@@ -66,7 +70,7 @@ def _places(ids: np.ndarray) -> list[np.ndarray]:
     return [((x * np.uint64(m)) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64) for m in MULTIPLIERS]
 
 
-def build(languages: list[str], members: dict[str, np.ndarray]) -> Filters:
+def build(languages: list[str], members: dict[str, np.ndarray], usual: int = 0) -> Filters:
     """Filters of the n-gram ids in ``members`` by language."""
     width = np.uint8 if len(languages) <= 8 else np.uint64
     per = 8 if len(languages) <= 8 else 64
@@ -77,7 +81,7 @@ def build(languages: list[str], members: dict[str, np.ndarray]) -> Filters:
         for p in _places(members.get(lang, np.zeros(0, dtype=np.uint32))):
             slots[k // per][p] |= bit
         rates[k] = np.mean(slots[k // per] & bit > 0) ** len(MULTIPLIERS)
-    return Filters(languages, slots, rates)
+    return Filters(languages, slots, rates, usual)
 
 
 def popcounts(filters: Filters, ids: np.ndarray) -> np.ndarray:
@@ -95,7 +99,10 @@ def popcounts(filters: Filters, ids: np.ndarray) -> np.ndarray:
 
 
 def identify(filters: Filters, text: str | None) -> tuple[str, float]:
-    """(language, share of the n-grams it explains); und and 0 without a letter or a learned language."""
+    """(language, share of the n-grams it explains); und and 0 without a letter or a learned language.
+
+    A text too short for an n-gram, or without any that a filter holds, gets the language with the most text and 0.
+    """
     if text is None or not filters.languages or not _LETTER.search(text):
         return UNKNOWN, 0.0
     data = np.frombuffer(normalised(text), dtype=np.uint8)
@@ -105,9 +112,9 @@ def identify(filters: Filters, text: str | None) -> tuple[str, float]:
         g = g[g != _BLANK]
         hits, n = hits + popcounts(filters, g), n + len(g)
     if not n:
-        return UNKNOWN, 0.0
+        return filters.languages[filters.usual], 0.0
     share = np.maximum(hits / n - filters.rates, 0) / np.maximum(1 - filters.rates, 1e-9)
-    k = int(np.argmax(share))  # languages are sorted: ties go to the first by code point
+    k = int(np.argmax(share)) if share.any() else filters.usual  # languages are sorted: ties go to the first by code point
     return filters.languages[k], float(min(1.0, share[k]))
 
 
@@ -132,7 +139,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            lang, text = lang.as_py(), text.as_py()
+            lang, text = lang.as_py(), as_text(text)
             data = np.frombuffer(normalised(text), dtype=np.uint8)
             for at in range(0, len(data) - N + 1, BLOCK):
                 g = grams(data[at : at + BLOCK + N - 1])
@@ -146,23 +153,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filters:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> Filters:
     """Filters learned from all rows of ``docs`` that have a text and a language.
 
-    N-gram counts of all rows are summed per language; the driver gets only the n-grams that pass MIN_SHARE, at most
-    1 / MIN_SHARE per language.
+    N-gram counts of all rows are summed per language; the driver gets only the n-grams that pass ``min_share``, at most
+    1 / min_share per language.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")).filter("lang is not null and text is not null")
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(totals, "lang").filter(F.col("n") >= MIN_SHARE * F.col("total")).select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
+    shares = counts.join(totals, "lang").filter(F.col("n") >= min_share * F.col("total")).select("lang", "gram", (F.col("n") / F.col("total")).alias("share"), "total")
     got = shares.toArrow().to_pandas()
     if got.empty:
         return build([], {})
     top = got.groupby("gram")["share"].transform("max")
-    kept = got[got["share"] >= MIN_RATIO * top]
+    kept = got[got["share"] >= min_ratio * top]
     members = {lang: g["gram"].to_numpy().astype(np.uint32) for lang, g in kept.groupby("lang")}
-    return build(sorted(members), members)
+    languages = sorted(members)
+    size = got.groupby("lang")["total"].max()
+    return build(languages, members, max(range(len(languages)), key=lambda k: (size[languages[k]], -k)))
 
 
 def predict(text: Column, filters: Filters, spark) -> Column:
@@ -171,19 +180,20 @@ def predict(text: Column, filters: Filters, spark) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [identify(shared.value, x.as_py()) for x in batch]
+            found = [identify(shared.value, as_text(x)) for x in batch]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang", "score"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "lang string, score double")(text)
+    return F.arrow_udf(run, "lang string, score double")(text.cast("binary"))
 
 
 def identify_languages(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang_pred, score) for every row of ``docs``, learned from the labelled rows of ``training``.
 
     A null text, a text without a letter, and every text if nothing was learned get 'und' and score 0. Ties go to the
-    language that sorts first. Whole texts of any length are read in blocks; repeated rows are all returned; columns
-    other than the named ones are not read.
+    language that sorts first; a text with a letter but without a learned n-gram gets the language with the most text
+    and score 0. Whole texts of any length are read in blocks; bytes that aren't UTF-8 are no letters; repeated rows are
+    all returned; columns other than the named ones are not read, whatever they are called.
     """
     filters = train(training, text_col, lang_col)
     found = docs.select(F.col(id_col).alias("id"), predict(F.col(text_col), filters, docs.sparkSession).alias("found"))

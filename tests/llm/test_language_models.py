@@ -39,6 +39,39 @@ def test_languages(spark):
     assert all(0 <= s <= 1 for x in got.values() for _, s in x)
 
 
+def test_short_texts_get_a_language(spark):
+    """A text with a letter but without an n-gram goes to the language with the most text."""
+    train = spark.createDataFrame([(1, "ka ro mi tu sek " * 9, "xx"), (2, "eau que tion " * 99, "zz"), (3, "öl esch", "yy")], DOCS)
+    df = spark.createDataFrame([(1, "a", None), (2, "I", None), (3, " é ", None), (4, "1", None), (5, "qqqqq", None)], DOCS)
+    df = df.unionByName(spark.sql("select 6L doc_id, cast(unhex('FFFE') as string) text, cast(null as string) lang"))
+    got = {r.id: (r.lang_pred, r.score) for r in langid.identify_languages(df, train).collect()}
+    assert got == {1: ("zz", 0.0), 2: ("zz", 0.0), 3: ("zz", 0.0), 4: ("und", 0.0), 5: ("zz", 0.0), 6: ("und", 0.0)}
+
+
+def test_filters_against_plain_sets(spark):
+    """Shares from bit-sliced filters are those of plain sets of n-grams, and so is the language."""
+    rows = corpus(seed=4)
+    learned = [r for r in rows if r[0] % 3]
+    counts = {lang: Counter() for lang in SYLLABLES}
+    for _, text, lang in learned:
+        b = (" " + text + " ").encode()
+        counts[lang].update(g for g in (b[i : i + 4] for i in range(len(b) - 3)) if g != b"    ")
+    share = {lang: {g: n / c.total() for g, n in c.items() if n / c.total() >= langid.MIN_SHARE} for lang, c in counts.items()}
+    most = Counter()
+    for x in share.values():
+        for g, p in x.items():
+            most[g] = max(most[g], p)
+    plain = {lang: {g for g, p in x.items() if p >= langid.MIN_RATIO * most[g]} for lang, x in share.items()}
+    filters = langid.train(spark.createDataFrame(learned, DOCS))
+    assert filters.languages == sorted(plain)
+    for _, text, _ in rows:
+        b = (" " + text + " ").encode()
+        grams = [b[i : i + 4] for i in range(len(b) - 3)]
+        want = [sum(g in plain[lang] for g in grams) / len(grams) for lang in sorted(plain)]
+        lang, score = langid.identify(filters, text)
+        assert lang == sorted(plain)[int(np.argmax(want))] and score == pytest.approx(max(want), abs=0.002)
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], DOCS)
     df = spark.createDataFrame([(1, "some text", "xx")], DOCS)
