@@ -1,7 +1,7 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped into lines, one per block. Lines where the markup says that they are no article text (menus, footers,
-forms, adverts, comments and the like) are empty. With an article element all of its text is kept, links too. Without
+forms, adverts, comments and the like) are empty. With an article element of some length all of its text is kept, links too. Without
 one a line weighs its text outside links, weights are summed over windows of lines, and text is kept from the point where
 the sums surge to the point where they dive to nothing: once over all lines, and once without the empty lines that only
 nested tags make, so that a title or a short block in an element of its own stays with its neighbours.
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import as_text
+
 WINDOW = 3
 #: Without an article element a surge takes this many characters in a window, or half the fullest window if less.
 SURGE = 86
@@ -32,6 +34,13 @@ _NAMES = frozenset(
     "footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search searchbox share sharing social related recommended recommendations "
     "comment comments commentlist reply replies respond disqus discussion reader readers widget toolbar pagination pager copyright disclaimer skip hidden".split()
 )
+#: Words that say nothing about what a block is. A name marks a block if all its words are of these two kinds: "ad-slot"
+#: and "site-footer" do, "article-header", "related-work" and "share-prices" don't.
+_PLAIN = frozenset(
+    "area bar block blocks body bottom box btn button buttons card center class clearfix col column columns container content contents count cta desktop div down element fixed float frame full global grid group hd icon icons id image "
+    "in inner item items js large layout left line link links list lists lg main md mid middle mobile module more new of on outer page pages panel placeholder pos position post posts primary rail right row secondary section sections show site size "
+    "slot sm small sticky stories story strip tag text the thread title toggle top txt ui unit up view wrap wrapper x xs your you us our a an and by for from to with".split()
+)
 _COMMENTS = frozenset("comment comments commentlist reply replies disqus".split())
 
 _TOKEN = re.compile(
@@ -58,9 +67,10 @@ def _no_article(tag: str, attrs: str, in_article: bool) -> bool:
         if name == "role" and value.lower() in _ROLES:
             return True
         if name in ("class", "id") and value:
-            words = {w.lower() for w in _CAMEL.findall(value)}
-            if words & (_COMMENTS if tag == "article" else _NAMES):
-                return True
+            for own in value.split():
+                words = {w.lower() for w in _CAMEL.findall(own)}
+                if words & (_COMMENTS if tag == "article" else _NAMES) and words <= _NAMES | _PLAIN:
+                    return True
     return False
 
 
@@ -144,7 +154,9 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found = lines(page)
-    if any(inside and text for text, _, inside, _, _ in found):
+    marked, outside = (sum(len(text) for text, _, inside, _, _ in found if inside is where) for where in (True, False))
+    # An element with a word or two in it, on a page with text elsewhere, isn't the article.
+    if marked >= SURGE or marked and marked >= outside:
         return " ".join(text for text, _, inside, _, _ in found if text and inside)
     kept = {k for i, j in _regions([n for _, n, _, _, _ in found]) for k in range(i, j)}
     full = [k for k, (text, _, _, _, empty) in enumerate(found) if text or empty]
@@ -161,13 +173,18 @@ def extract(page: str | None) -> str:
 def main_text(page: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([extract(x.as_py()) for x in batch], pa.string())
+            yield pa.array([extract(as_text(x)) for x in batch], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "string")(page)
+    return F.arrow_udf(run, "string")(page.cast("binary"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) for every row, repeated ones too; a null page has an empty text. Pages are read whole."""
+    """(id, url, text, n_chars) for every row, repeated ones too; a null page has an empty text, an empty table gives none.
+
+    Pages are read whole, very long ones too, in time proportional to their length. Bytes that aren't UTF-8 are read as
+    U+FFFD. Null ids and urls stay. A row's result is made from that row alone; other columns are not read, whatever
+    they are called.
+    """
     d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), main_text(F.col(html_col)).alias("text"))
     return d.withColumn("n_chars", F.length("text").cast("long"))

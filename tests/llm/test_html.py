@@ -66,3 +66,25 @@ def test_broken_markup_ends():
     for page in ("<", "<a", "<!--", "<script>", "</", "<p " + "a='" * 5000, "<" * 20_000, "<div>" * 3000 + "x", "<style>" * 300, '<p x="' * 2000):
         html.extract(page)
     assert html.extract("plain text without any markup") == "plain text without any markup"
+
+
+@pytest.mark.parametrize("name", ["article-header", "related-work", "notice-of-death", "reader-question", "social-history", "share-prices"])
+def test_names_with_other_words_mark_nothing(name):
+    page = f'<article><p>Start of it.</p><div class="{name}">In it.</div><section id="{name}">This too.</section><p>End.</p></article>'
+    assert html.extract(page) == "Start of it. In it. This too. End."
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "cookie-notice", "site-footer", "reader-comments", "related-links", "box sidebarRight"])
+def test_names_of_plain_words_mark_a_block(name):
+    assert html.extract(f'<article><p>Start of it.</p><div class="{name}">Not in it.</div><p>End.</p></article>') == "Start of it. End."
+
+
+def test_a_word_in_main_is_not_the_article():
+    text = "A long text of the page that is not in the main element at all. " * 4
+    assert html.extract(f"<main>Home</main><div><p>{text}</p></div>") == ("Home " + text).strip()
+    assert html.extract("<main>Home</main>") == "Home"
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("select 1L page_id, 'u' url, cast(unhex('3C703E61FF623C2F703E') as string) html")
+    assert html.extract_pages(df).first().text == "a�b"
