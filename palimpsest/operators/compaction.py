@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import scratch
+
 
 def collect_garbage(log: DataFrame, watermark: int, bottom: bool = True) -> DataFrame:
     """Versions that some reader at or above ``watermark`` can still see.
@@ -37,6 +40,23 @@ def sorted_runs(log: DataFrame, runs: int) -> DataFrame:
     return log.repartitionByRange(runs, "k").sortWithinPartitions("k", F.desc("ts"))
 
 
+def split_runs(rows: DataFrame, run_bytes: int, size: Column, files: int = 32) -> DataFrame:
+    """Adds ``run_id``: rows in key order are cut into runs of about ``run_bytes``, only where the key changes.
+
+    Bytes are summed by key first. Running totals are taken inside key ranges, which are written down so that they stay
+    what they are, and over one row per range.
+    """
+    at = scratch(rows.sparkSession, "ranges")
+    by_key = rows.groupBy("k").agg(F.sum(size).alias("__bytes"))
+    by_key.repartitionByRange(files, "k").withColumn("__range", F.spark_partition_id()).write.parquet(at)
+    by_key = rows.sparkSession.read.parquet(at)
+    before = lambda what, w: F.coalesce(F.sum(what).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = by_key.groupBy("__range").agg(F.sum("__bytes").alias("__all"))
+    ranges = ranges.select("__range", before("__all", Window.orderBy("__range")).alias("__ahead"))
+    inside = by_key.withColumn("__inside", before("__bytes", Window.partitionBy("__range").orderBy("k"))).join(F.broadcast(ranges), "__range")
+    return rows.join(inside.select("k", F.floor((F.col("__ahead") + F.col("__inside")) / run_bytes).alias("run_id")), "k")
+
+
 @dataclass(frozen=True)
 class Options:
     """What a store can be tuned by."""
@@ -47,6 +67,25 @@ class Options:
     level0_trigger: int = 10
     max_levels: int = 7
     serializable: bool = False
+    pending: bool = False  # single writes collect in memory until run_bytes of them freeze
+    run_limit: int = 100  # frozen groups that may wait
+
+    @classmethod
+    def from_config(cls, config: str | dict) -> Options:
+        """Options from a JSON configuration: its "lsm" part, with defaults for what it lacks."""
+        lsm = (json.loads(config) if isinstance(config, str) else config).get("lsm", {})
+        named = {"target_sst_size": "run_bytes", "num_memtable_limit": "run_limit", "serializable": "serializable"}
+        found = {to: lsm[key] for key, to in named.items() if key in lsm}
+        how = lsm.get("compaction_options")
+        if how == "NoCompaction":
+            found["strategy"] = "none"
+        elif isinstance(how, dict) and set(how) == {"Simple"}:
+            simple = how["Simple"]
+            found |= {to: simple[key] for key, to in (("size_ratio_percent", "size_ratio_percent"), ("level0_file_num_compaction_trigger", "level0_trigger"), ("max_levels", "max_levels")) if key in simple}
+        elif how is not None:
+            raise ValueError("compaction_options must be Simple or NoCompaction")
+        # Without a log, writes are durable once they are flushed.
+        return cls(pending=not lsm.get("enable_wal", True), **found)
 
     def levels(self) -> int:
         return self.max_levels if self.strategy == "simple" else 1

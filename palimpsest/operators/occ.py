@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.asof import last_before
 from palimpsest.operators.merge import merge_two
 from palimpsest.operators.versions import live
 
 
 def conflicts(reads: DataFrame, commits: DataFrame) -> DataFrame:
-    """Reads (txn, k, read_ts, end_ts) that a commit (k, commit_ts) after read_ts and before end_ts invalidates.
+    """Reads (k, read_ts, end_ts, ..) that a commit (k, commit_ts) after read_ts and before end_ts invalidates.
 
-    An equi-join on exact keys with a residual range: no false alarms from hashes. A semi-join keeps each read once,
-    however many commits hit it.
+    Exact keys, so no false alarms from hashes. The first commit after a read decides: an as-of lookup over both in
+    falling order of time, in which a key with many reads and commits is no product of the two.
     """
-    return reads.join(commits, (reads["k"] == commits["k"]) & (commits["commit_ts"] > reads["read_ts"]) & (commits["commit_ts"] < reads["end_ts"]), "left_semi")
+    asked = reads.select("k", (F.col("read_ts") * -2).alias("__order"), F.struct(*reads.columns).alias("__read"), F.lit(None).cast("long").alias("__at"))
+    made = commits.select("k", (F.col("commit_ts") * -2 + 1).alias("__order"), F.lit(None).cast(asked.schema["__read"].dataType).alias("__read"), F.col("commit_ts").cast("long").alias("__at"))
+    found = last_before(asked.unionByName(made), "k", "__order", F.col("__at"), "__first")
+    return found.filter("__read is not null and __first < __read.end_ts").select("__read.*")
 
 
 def aborted(txns: DataFrame, reads: DataFrame, writes: DataFrame, commits: DataFrame) -> DataFrame:

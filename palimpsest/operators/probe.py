@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import bloom_positions
 
 
+def bits_for(keys: int, share: float = 0.01) -> int:
+    """Bits of a filter of ``keys`` keys of which a probe lets through that share of absent ones, a multiple of 64."""
+    return max(64, -(-int(keys * -math.log(share) / math.log(2) ** 2) // 64) * 64)
+
+
 def build(keys: DataFrame, run: str = "run_id", key: str = "k", bits: int = 1 << 13, probes: int = 3) -> DataFrame:
     """(run, word, bits): the filter of each run as 64-bit words, folded by OR; a run has bits / 64 rows at most."""
     at = keys.select(run, F.explode(F.array(*bloom_positions(F.col(key), bits, probes))).alias("p"))

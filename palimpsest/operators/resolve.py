@@ -36,3 +36,8 @@ def snapshot(log: DataFrame, read_ts: int | None = None) -> DataFrame:
 def get(log: DataFrame, key, read_ts: int | None = None) -> DataFrame:
     """The live version of one key: the key predicate reaches the scan before anything is resolved."""
     return snapshot(log.filter(F.col("k") == F.lit(key)), read_ts)
+
+
+def get_version(log: DataFrame, versions: DataFrame) -> DataFrame:
+    """(k, ts, v): exactly the versions asked for (k, ts), tombstones included."""
+    return log.join(versions.select("k", "ts"), ["k", "ts"], "left_semi")

@@ -79,6 +79,13 @@ def get_point_miss(spark, sf_dir):
     return resolve.get(events_log(spark, sf_dir), -1)
 
 
+@query(f"WITH {KV} SELECT k, ts, v FROM kv WHERE ts % 7 = 3 AND ts IN (SELECT o_orderkey FROM orders) AND k % 2 = 0")
+def get_version(spark, sf_dir):
+    asked = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ts"))
+    wanted = events_log(spark, sf_dir).join(asked, "ts").filter("ts % 7 = 3 and k % 2 = 0")
+    return resolve.get_version(events_log(spark, sf_dir), wanted)
+
+
 @query(f"WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}) SELECT c.c_custkey AS k, coalesce(s.v, 'key not found') AS message FROM customer c LEFT JOIN s ON s.k = c.c_custkey")
 def multi_get(spark, sf_dir):
     asked = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
@@ -195,11 +202,18 @@ def prune_runs(spark, sf_dir):
     return bounds.overlapping(merge.run_stats(_orders(spark, sf_dir)), excluded(999), included(3200)).select("run_id", "first_key", "last_key")
 
 
-@query("SELECT count(*) AS present, 0::BIGINT AS missed FROM orders")
+@query("SELECT count(*) AS present, 0::BIGINT AS missed, (SELECT count(*) FROM orders WHERE o_orderkey // 1000 > 0) AS absent, true AS few_pass FROM orders")
 def bloom_probe(spark, sf_dir):
+    """All keys pass the filter of their own run, and few the one of the run before."""
+    bits = probe.bits_for(1000)
     keys = _orders(spark, sf_dir).select("run_id", "k")
-    kept = probe.maybe_present(probe.build(keys), keys)
-    return keys.join(kept.withColumn("hit", F.lit(1)), ["run_id", "k"], "left").agg(F.count("*").alias("present"), F.count(F.when(F.col("hit").isNull(), 1)).alias("missed"))
+    filters = probe.build(keys, bits=bits)
+    kept = probe.maybe_present(filters, keys, bits=bits).withColumn("hit", F.lit(1))
+    mine = keys.join(kept, ["run_id", "k"], "left").agg(F.count("*").alias("present"), F.count(F.when(F.col("hit").isNull(), 1)).alias("missed"))
+    others = keys.filter("run_id > 0").withColumn("run_id", F.col("run_id") - 1)
+    passed = others.join(probe.maybe_present(filters, others, bits=bits).withColumn("hit", F.lit(1)), ["run_id", "k"], "left")
+    passed = passed.agg(F.count("*").alias("absent"), (F.count("hit") <= 0.02 * F.count("*") + 3).alias("few_pass"))
+    return mine.crossJoin(passed)
 
 
 # --- compaction ---
@@ -224,17 +238,33 @@ def tombstone_only_keys(spark, sf_dir):
     return resolve.newest(events_log(spark, sf_dir)).filter("v is null").select("k", "ts")
 
 
-@query("SELECT 0::BIGINT AS differences")
+_AT = (SIXTY, "(SELECT max(ts) * 8 // 10 FROM kv)", "(SELECT max(ts) FROM kv)")
+
+
+@query("WITH " + KV + " SELECT 0::BIGINT AS differences, " + ", ".join(f"(SELECT count(*) FROM ({newest_sql(f'SELECT * FROM kv WHERE ts <= {at}')})) AS rows_{i}" for i, at in enumerate(_AT)))
 def read_equivalence(spark, sf_dir):
+    """Snapshots at and above the watermark are the same before and after compaction: one pass over each log."""
     log = events_log(spark, sf_dir)
     newest = latest_ts(log)
-    mark, out = newest * 6 // 10, None
-    kept = compaction.collect_garbage(log, mark)
-    for at in (mark, newest * 8 // 10, newest):
-        a, b = resolve.snapshot(log, at), resolve.snapshot(kept, at)
-        d = a.exceptAll(b).unionByName(b.exceptAll(a))
-        out = d if out is None else out.unionByName(d)
-    return out.agg(F.count("*").alias("differences"))
+    mark = newest * 6 // 10
+    ats = (mark, newest * 8 // 10, newest)
+
+    def snapshots(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("k").agg(F.struct(*(F.max(F.when(F.col("ts") <= at, F.struct("ts", "v"))).alias(f"at{i}") for i, at in enumerate(ats))).alias(name))
+
+    both = snapshots(log, "a").join(snapshots(compaction.collect_garbage(log, mark), "b"), "k", "full")
+    live = lambda side, i: F.when(F.col(f"{side}.at{i}.v").isNotNull(), F.col(f"{side}.at{i}"))
+    differ = sum((F.count(F.when(~live("a", i).eqNullSafe(live("b", i)), 1)) for i in range(1, 3)), F.count(F.when(~live("a", 0).eqNullSafe(live("b", 0)), 1)))
+    return both.agg(differ.alias("differences"), *(F.count(live("b", i)).alias(f"rows_{i}") for i in range(3)))
+
+
+@query(f"WITH {KV}, kept AS (SELECT k, ts, v FROM kv WHERE ts > {SIXTY} UNION ALL {newest_sql(f'SELECT * FROM kv WHERE ts <= {SIXTY}')}), b AS (SELECT k, sum(strlen(CAST(k AS VARCHAR)) + coalesce(strlen(v), 0) + 8) AS b FROM kept GROUP BY k), r AS (SELECT k, coalesce(sum(b) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 4096 AS run_id FROM b) SELECT k, ts, v, run_id FROM kept JOIN r USING (k)")
+def compact_split(spark, sf_dir):
+    """The output of a compaction, cut into runs of about 4096 bytes between keys."""
+    log = events_log(spark, sf_dir)
+    kept = compaction.collect_garbage(log, latest_ts(log) * 6 // 10)
+    size = F.octet_length(F.col("k").cast("string")) + F.coalesce(F.octet_length("v"), F.lit(0)) + 8
+    return compaction.split_runs(kept, 4096, size, files=4).select("k", "ts", "v", "run_id")
 
 
 _LEVELS = "SELECT n_regionkey AS level, count(*)::BIGINT * 10 // (1 + n_regionkey * n_regionkey * 3) AS files FROM nation GROUP BY 1"
@@ -299,14 +329,25 @@ def _aborted(spark, sf_dir, reads, writes_) -> DataFrame:
     return occ.aborted(txns, reads, h.filter(writes_).select(F.col("ts").alias("txn")), h.select("k", F.col("ts").alias("commit_ts"))).agg(F.count("*").alias("aborted"))
 
 
-@query("SELECT 0::BIGINT AS aborted")
+_OUTDATED = f"(SELECT count(*) FROM kv a WHERE EXISTS (SELECT 1 FROM kv b WHERE b.k = a.k AND b.ts > a.ts - 20 AND b.ts < a.ts))"
+
+
+@query(f"WITH {KV} SELECT {_OUTDATED} AS aborted")
+def occ_aborts(spark, sf_dir):
+    """All transactions read and write: those abort whose read is outdated."""
+    return _aborted(spark, sf_dir, F.lit(True), F.lit(True))
+
+
+@query(f"WITH {KV} SELECT {_OUTDATED.replace('EXISTS', 'a.ts % 3 = 0 AND EXISTS')} AS aborted")
 def occ_readonly_ok(spark, sf_dir):
-    return _aborted(spark, sf_dir, F.lit(True), F.lit(False))
+    """All read, a third write: the others commit, though what they read is as outdated."""
+    return _aborted(spark, sf_dir, F.lit(True), F.col("ts") % 3 == 0)
 
 
-@query("SELECT 0::BIGINT AS aborted")
+@query(f"WITH {KV} SELECT {_OUTDATED.replace('EXISTS', 'a.ts % 2 = 0 AND EXISTS')} AS aborted")
 def blind_write_ok(spark, sf_dir):
-    return _aborted(spark, sf_dir, F.lit(False), F.lit(True))
+    """All write, half of them without having read: those never abort."""
+    return _aborted(spark, sf_dir, F.col("ts") % 2 == 0, F.lit(True))
 
 
 @query(f"WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}), l AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS v FROM supplier) SELECT k, v FROM (SELECT k, v FROM l UNION ALL SELECT k, v FROM s WHERE k NOT IN (SELECT k FROM l)) WHERE v IS NOT NULL")
@@ -338,7 +379,7 @@ _LINES = "SELECT o_orderkey AS seq, CASE o_orderkey % 10 WHEN 0 THEN 'get ' || o
 _PARSED = f"""SELECT seq, CASE WHEN error IS NULL THEN CASE op WHEN 'remove' THEN 'rm' WHEN 'Exit' THEN 'exit' ELSE op END END AS op,
 CASE WHEN error IS NULL AND n > 1 THEN w[2] END AS key, CASE WHEN error IS NULL AND n > 2 THEN w[3] END AS value, error FROM (
   SELECT *, CASE WHEN op NOT IN ('get', 'set', 'rm', 'remove', 'exit', 'Exit') THEN 'unknown command'
-    WHEN n <> CASE op WHEN 'set' THEN 3 WHEN 'exit' THEN 1 WHEN 'Exit' THEN 1 ELSE 2 END THEN 'wrong number of arguments' END AS error
+    WHEN n <> CASE op WHEN 'set' THEN 3 WHEN 'exit' THEN 1 WHEN 'Exit' THEN 1 ELSE 2 END THEN 'wrong number of arguments: ' || CASE op WHEN 'set' THEN 3 WHEN 'exit' THEN 1 WHEN 'Exit' THEN 1 ELSE 2 END || ' expected, ' || n || ' given' END AS error
   FROM (SELECT seq, w, w[1] AS op, len(w) AS n FROM (SELECT seq, string_split(trim(line), ' ') AS w FROM ({_LINES}))))"""
 
 
@@ -357,23 +398,83 @@ def command_parse(spark, sf_dir):
     return _parsed(spark, sf_dir)
 
 
-@query(f"""WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}) SELECT p.seq, p.op, p.key, CASE WHEN error IS NOT NULL THEN error WHEN op = 'get' THEN coalesce(s.v, 'key not found') WHEN op = 'exit' THEN 'bye' ELSE 'ok' END AS message
-FROM ({_PARSED}) p LEFT JOIN s ON CAST(s.k AS VARCHAR) = p.key""")
+def _served(parsed: str) -> str:
+    """Each command after the ones before it: an as-of join with the last write of its key."""
+    return f"""WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}), p AS ({parsed}), m AS (SELECT seq, key, op, value FROM p WHERE op IN ('set', 'rm') AND error IS NULL),
+x AS (SELECT p.seq, p.op, p.key, p.error, CASE WHEN m.seq IS NULL THEN s.v WHEN m.op = 'set' THEN m.value END AS v FROM p ASOF LEFT JOIN m ON p.key = m.key AND p.seq > m.seq LEFT JOIN s ON CAST(s.k AS VARCHAR) = p.key)
+SELECT seq, op, key, CASE WHEN error IS NOT NULL THEN error WHEN op = 'get' THEN coalesce(v, 'key not found') WHEN op = 'exit' THEN 'bye' ELSE 'ok' END AS message, error IS NULL AND (op <> 'get' OR v IS NOT NULL) AS ok FROM x"""
+
+
+@query(_served(_PARSED))
 def command_serve(spark, sf_dir):
     state = resolve.snapshot(events_log(spark, sf_dir)).withColumn("k", F.col("k").cast("string"))
     return commands.serve(_parsed(spark, sf_dir), state)
 
 
+_REQUESTS = "SELECT o_orderkey AS seq, CASE o_orderkey % 6 WHEN 0 THEN 'get' WHEN 1 THEN 'set' WHEN 2 THEN 'rm' WHEN 3 THEN 'exit' END AS op, CASE WHEN o_orderkey % 6 < 3 THEN CAST(o_custkey % 150 AS VARCHAR) END AS key, CASE WHEN o_orderkey % 6 = 1 THEN o_orderstatus END AS value, CASE o_orderkey % 6 WHEN 4 THEN 'not a JSON request' WHEN 5 THEN 'no command' END AS error FROM orders"
+_ANSWERS = f"""SELECT seq, CASE WHEN ok AND op = 'get' THEN '{{"code":"OK","message":"' || message || '","value":{{"value":{{"VString":"' || message || '"}}}}}}' ELSE '{{"code":"' || CASE WHEN ok THEN 'OK' ELSE 'Err' END || '","message":"' || CASE WHEN message = 'ok' THEN 'Ok' ELSE message END || '","value":{{"value":"Empty"}}}}' END AS line
+FROM ({_served(_REQUESTS)}) WHERE op IS NULL OR op <> 'exit'"""
+
+
+def _requests(orders: DataFrame) -> DataFrame:
+    """Each order as a request in JSON; one in six is broken and one empty."""
+    c = (F.col("o_custkey") % 150).cast("string")
+    request = lambda x: F.concat(F.lit('{"command":'), x, F.lit("}"))
+    cases = [
+        request(F.concat(F.lit('{"Get":"'), c, F.lit('"}'))),
+        request(F.concat(F.lit('{"Set":["'), c, F.lit('","'), "o_orderstatus", F.lit('"]}'))),
+        request(F.concat(F.lit('{"Remove":"'), c, F.lit('"}'))),
+        request(F.lit('"Exit"')),
+        F.lit('{"command":{"Get'),
+    ]
+    line = F.lit("")
+    for i, x in enumerate(cases):
+        line = F.when(F.col("o_orderkey") % 6 == i, x).otherwise(line)
+    return orders.select(F.col("o_orderkey").alias("seq"), line.alias("line"))
+
+
+@query(_ANSWERS)
+def command_json(spark, sf_dir):
+    state = resolve.snapshot(events_log(spark, sf_dir)).withColumn("k", F.col("k").cast("string"))
+    asked = _requests(_table(spark, sf_dir, "orders")).select("seq", commands.parse_json(F.col("line")).alias("c")).select("seq", "c.*")
+    return commands.answer_json(commands.serve(asked, state))
+
+
+@query(_ANSWERS)
+def command_stream(spark, sf_dir):
+    """The same requests as a stream against a durable store."""
+    at = scratch(spark, "served")
+    store = Store(spark, f"{at}/store")
+    log = resolve.snapshot(events_log(spark, sf_dir))
+    store.write_frame(log.select(F.lit(0).alias("seq"), F.lit("put").alias("op"), F.encode(F.col("k").cast("string"), "UTF-8").alias("k"), F.encode("v", "UTF-8").alias("v")))
+    path = f"{sf_dir}/orders.parquet"
+    orders = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    upsert.serve_stream(_requests(orders), store, f"{at}/answers", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/answers").select("seq", "line")
+
+
 @query(f"WITH {KV}, b AS (SELECT CAST(key AS BIGINT) AS k, value AS v, op, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM ({_PARSED}) WHERE op IN ('set', 'rm')) {newest_sql(f'SELECT * FROM kv UNION ALL SELECT k, {_NEXT}, v FROM b WHERE n = 1')}")
 def command_apply(spark, sf_dir):
     ops = commands.mutations(_parsed(spark, sf_dir)).withColumn("k", F.col("k").cast("long"))
     return resolve.snapshot(writes.write_batch(events_log(spark, sf_dir), ops))
 
 
-@query(f"""WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}) SELECT o_orderkey AS seq, (o_orderkey % 4 + 1)::INTEGER AS code, o_custkey AS key, CASE o_orderkey % 4 + 1 WHEN 1 THEN CASE WHEN s.v IS NULL THEN 2 ELSE 1 END WHEN 4 THEN 3 ELSE 1 END AS result, CASE WHEN o_orderkey % 4 = 0 THEN s.v END AS message FROM orders LEFT JOIN s ON s.k = o_custkey""")
+@query(f"""WITH {KV}, s AS ({newest_sql('SELECT * FROM kv')}), r AS (SELECT o_orderkey AS seq, (o_orderkey % 4 + 1)::INTEGER AS code, o_custkey % 150 AS key, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS value FROM orders),
+m AS (SELECT * FROM r WHERE code = 3 OR (code = 2 AND value IS NOT NULL)), x AS (SELECT r.*, CASE WHEN m.seq IS NULL THEN s.v WHEN m.code = 2 THEN m.value END AS v FROM r ASOF LEFT JOIN m ON r.key = m.key AND r.seq > m.seq LEFT JOIN s ON s.k = r.key)
+SELECT seq, code, key, CASE WHEN code = 4 OR (code = 2 AND value IS NULL) THEN 3 WHEN code = 1 AND v IS NULL THEN 2 ELSE 1 END AS result, CASE WHEN code = 1 THEN coalesce(v, 'key not found') WHEN code = 4 OR (code = 2 AND value IS NULL) THEN 'failed' ELSE 'ok' END AS message FROM x""")
 def rpc_call(spark, sf_dir):
-    r = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("code"), F.col("o_custkey").alias("key"))
-    return commands.call(r, resolve.snapshot(events_log(spark, sf_dir)))
+    return commands.call(_calls(spark, sf_dir), resolve.snapshot(events_log(spark, sf_dir)))
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("code"), (F.col("o_custkey") % 150).alias("key"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("value"))
+
+
+@query(f"WITH {KV}, b AS (SELECT o_custkey % 150 AS k, CASE WHEN o_orderkey % 4 = 1 THEN o_orderstatus END AS v, row_number() OVER (PARTITION BY o_custkey % 150 ORDER BY o_orderkey DESC) AS n FROM orders WHERE o_orderkey % 4 = 2 OR (o_orderkey % 4 = 1 AND o_orderkey % 5 > 0)) {newest_sql(f'SELECT * FROM kv UNION ALL SELECT k, {_NEXT}, v FROM b WHERE n = 1')}")
+def rpc_apply(spark, sf_dir):
+    ops = commands.call_mutations(_calls(spark, sf_dir)).withColumn("k", F.col("k").cast("long"))
+    return resolve.snapshot(writes.write_batch(events_log(spark, sf_dir), ops))
 
 
 # --- durable state ---
@@ -422,10 +523,22 @@ def store_compacted(spark, sf_dir):
     return _store(spark, sf_dir, compact=True)
 
 
+@query("SELECT 0 AS level, ceil(count(*) / 4.0)::BIGINT AS files, count(*) AS n_rows FROM nation")
+def flush_levels(spark, sf_dir):
+    """Single puts of 16 bytes freeze by 64 bytes, and each frozen group becomes a run of level 0."""
+    store = Store(spark, scratch(spark, "store"), compaction.Options(run_bytes=64, run_limit=2, pending=True, strategy="none"))
+    for r in _table(spark, sf_dir, "nation").select("n_nationkey").collect():
+        store.put(f"k{r.n_nationkey:02d}", "value")
+    store.maintain()
+    found = spark.createDataFrame([(r["level"], r["rows"]) for r in store.runs], "level int, n long")
+    return found.groupBy("level").agg(F.count("*").alias("files"), F.sum("n").alias("n_rows"))
+
+
 # --- functions, streams ---
 
 
-@query(None)  # DuckDB has no CRC-32
+# CRC-32 bit by bit; the names are ASCII.
+@query("SELECT p_partkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) AS crc FROM part")
 def checksum(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", scalars.checksum(F.col("p_name")).alias("crc"))
 
@@ -441,6 +554,15 @@ def stream_upsert_latest(spark, sf_dir):
     return upsert.upsert_latest(upsert.events_stream(spark, sf_dir), f"{at}/log", f"{at}/checkpoint")
 
 
+@query(_SQL["get_latest"])
+def stream_state_latest(spark, sf_dir):
+    """The live state held by a streaming aggregate; every trigger rewrites it."""
+    at = scratch(spark, "state")
+    newest = upsert.latest_by_state(upsert.events_stream(spark, sf_dir))
+    newest.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/rows")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows").filter("v is not null")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -19,6 +19,12 @@ def session(app: str = "palimpsest", master: str | None = None, **conf) -> Spark
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names; a temporary one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="palimpsest-")
+    """A new path in the shared folder that the session names; a temporary one only where it names none and runs in one
+    process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="palimpsest-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.resolve import snapshot
+from palimpsest.sources import commands
+from palimpsest.sources.store import Store
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,3 +38,22 @@ def latest_by_state(changes: DataFrame) -> DataFrame:
     For update or complete output mode.
     """
     return changes.groupBy("k").agg(F.max(F.struct("ts", "v")).alias("x")).select("k", "x.ts", "x.v")
+
+
+def serve_stream(lines: DataFrame, store: Store, answers: str, checkpoint: str) -> None:
+    """Answers a stream of JSON requests (seq, line) from ``store``, applies its writes and ends when all are answered.
+
+    Each micro-batch is answered in the order of seq and its writes are one commit with the batch's number. Answers are
+    written to a folder of their own first, so a batch that runs again writes the same answers and commits once.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        if number <= store.state["batch"]:
+            return
+        asked = batch.select("seq", commands.parse_json(F.col("line")).alias("c")).select("seq", "c.*")
+        state = store.scan().select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+        commands.answer_json(commands.serve(asked, state)).write.mode("overwrite").parquet(f"{answers}/batch={number}")
+        ops = commands.mutations(asked)
+        store.write_frame(ops.select("seq", "op", F.encode("k", "UTF-8").alias("k"), F.encode("v", "UTF-8").alias("v")), batch=number)
+
+    lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

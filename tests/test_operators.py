@@ -161,14 +161,52 @@ def test_bloom_filters_miss_no_key(spark):
 def test_command_lines(spark):
     lines = ["get a", "set a b", "rm a", "remove a", "exit", "Exit", "", "get", "set a", "set a b c", "get  a", "foo", " get a ", None]
     got = [tuple(r.c) for r in spark.createDataFrame([(x,) for x in lines], "line string").select(commands.parse(F.col("line")).alias("c")).collect()]
-    bad, arity = (None, None, None, "unknown command"), (None, None, None, "wrong number of arguments")
-    assert got == [("get", "a", None, None), ("set", "a", "b", None), ("rm", "a", None, None), ("rm", "a", None, None), ("exit", None, None, None), ("exit", None, None, None), bad, arity, arity, arity, arity, bad, ("get", "a", None, None), bad]
+    said = lambda x: (None, None, None, x)
+    bad, arity = said("unknown command"), lambda m, n: said(f"wrong number of arguments: {m} expected, {n} given")
+    assert got == [("get", "a", None, None), ("set", "a", "b", None), ("rm", "a", None, None), ("rm", "a", None, None), ("exit", None, None, None), ("exit", None, None, None), bad, arity(2, 1), arity(3, 2), arity(3, 4), arity(2, 3), bad, ("get", "a", None, None), said("no command")]
+
+
+def test_json_requests(spark):
+    lines = ['{"command":{"Get":"a b"}}', '{"command":{"Set":["a","x y"]}}', '{"command":{"Set":["a"]}}', '{"command":{"Remove":"é"}}', '{"command":"Exit"}', '{"command":"Stop"}', "{", "", None, '{"other":1}']
+    got = [tuple(r.c) for r in spark.createDataFrame([(x,) for x in lines], "line string").select(commands.parse_json(F.col("line")).alias("c")).collect()]
+    no, none = (None, None, None, "not a JSON request"), (None, None, None, "no command")
+    assert got == [("get", "a b", None, None), ("set", "a", "x y", None), no, ("rm", "é", None, None), ("exit", None, None, None), no, no, none, none, no]
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_commands_take_effect_in_order(spark, span):
+    rng = random.Random(span)
+    state = {"a": "0", "b": "1"}
+    asked = [(i, rng.choice(["get", "set", "rm", "exit", None]), rng.choice(["a", "a", "a", "b", "c", ""]), rng.choice(["x", "y", ""]), None) for i in range(-20, 100)]
+    asked = [(i, op, None if op in (None, "exit") else k, v if op == "set" else None, "broken" if op is None else None) for i, op, k, v, _ in asked]
+    want, now = [], dict(state)
+    for i, op, k, v, error in asked:
+        ok = True
+        if error:
+            m, ok = error, False
+        elif op == "get":
+            m, ok = now.get(k, "key not found"), k in now
+        elif op == "exit":
+            m = "bye"
+        elif not k or (op == "set" and not v):
+            m, ok = "a write needs a key, and a put needs a value", False
+        else:
+            m = "ok"
+            if op == "set":
+                now[k] = v
+            else:
+                now.pop(k, None)
+        want.append((i, m, ok))
+    df = spark.createDataFrame(asked, "seq long, op string, key string, value string, error string").repartition(5)
+    got = commands.serve(df, spark.createDataFrame(list(state.items()), "k string, v string"), span)
+    assert sorted((r.seq, r.message, r.ok) for r in got.collect()) == want
 
 
 def test_calls(spark):
     state = spark.createDataFrame([("a", "1")], "k string, v string")
-    req = spark.createDataFrame([(1, 1, "a"), (2, 1, "z"), (3, 2, "a"), (4, 3, "z"), (5, 9, "a")], "seq int, code int, key string")
-    assert sorted((r.seq, r.result, r.message) for r in commands.call(req, state).collect()) == [(1, 1, "1"), (2, 2, None), (3, 1, None), (4, 1, None), (5, 3, None)]
+    req = spark.createDataFrame([(1, 1, "a", None), (2, 1, "z", None), (3, 2, "a", "2"), (4, 3, "z", None), (5, 9, "a", None), (6, 1, "a", None), (7, 2, "a", ""), (8, 3, "a", None), (9, 1, "a", None), (10, 2, "", "x"), (11, None, "a", None)], "seq int, code int, key string, value string")
+    assert sorted((r.seq, r.result, r.message) for r in commands.call(req, state).collect()) == [(1, 1, "1"), (2, 2, "key not found"), (3, 1, "ok"), (4, 1, "ok"), (5, 3, "failed"), (6, 1, "2"), (7, 3, "failed"), (8, 1, "ok"), (9, 2, "key not found"), (10, 3, "failed"), (11, 3, "failed")]
+    assert sorted(tuple(r) for r in commands.call_mutations(req).collect()) == [(3, "put", "a", "2"), (4, "del", "z", None), (8, "del", "a", None)]
 
 
 def test_scalars(spark):
