@@ -23,7 +23,7 @@ from palimpsest.llm.common import written
 #: Rows that a network is learned from (half of all at most), rows that the number of probes is set with, and how many of
 #: those are taken as queries: at most so many.
 SAMPLE, HELD_OUT, ASKED = 8192, 8192, 1024
-MOST, LINKS, HIDDEN, RECALL = 256, 10, 64, 0.97
+MOST, LINKS, HIDDEN, RECALL = 256, 10, 64, 0.95
 #: Rows of a part, and queries, that are compared in one group.
 ROWS, QUERIES = 4096, 4096
 

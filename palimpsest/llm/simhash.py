@@ -291,14 +291,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, asked: D
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those pairs of fingerprints (u, v) that belong to two texts, one of each, which share ``similarity`` of their
     shingles. All texts of both are compared."""
-    # Sets so different in size that they can't be alike are left out before any set is moved.
-    sizes = sets.groupBy("fp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    side = lambda x: sizes.select(F.col("fp").alias(x), F.col("least_n").alias(f"least_{x}"), F.col("most_n").alias(f"most_{x}"))
     share = F.lit(similarity)
-    pairs = pairs.join(side("u"), "u").join(side("v"), "v").filter((F.col("most_u") >= share * F.col("least_v")) & (F.col("most_v") >= share * F.col("least_u"))).select("u", "v")
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("su"), F.col("n").alias("nu")), "u")
-    both = both.join(sets.select(F.col("fp").alias("v"), F.col("set").alias("sv"), F.col("n").alias("nv")), "v")
-    both = both.filter((F.col("nu") >= share * F.col("nv")) & (F.col("nv") >= share * F.col("nu")))
+    sizes = (F.col("nu") >= share * F.col("nv")) & (F.col("nv") >= share * F.col("nu"))
+    both = both.join(sets.select(F.col("fp").alias("v"), F.col("set").alias("sv"), F.col("n").alias("nv")), "v").filter(sizes)
     shared = F.size(F.array_intersect("su", "sv"))
     return both.filter(shared >= share * (F.col("nu") + F.col("nv") - shared)).select("u", "v").distinct()
 
@@ -312,15 +308,20 @@ def _widened(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, print
     """
     near = _near(rows, classes, bits, of)
     sets = _sets(docs, id_col, text_col, rows, near.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), shingle)
-    for first in (True, False):
-        if first:
-            pairs = near.groupBy(F.least("of_u", "of_v"), F.greatest("of_u", "of_v")).agg(F.min(F.struct("u", "v")).alias("x")).select("x.u", "x.v")
-        else:
-            root = lambda x: classes.select(F.col("fp").alias(x), F.col("root").alias(f"now_{x}"))
-            pairs = near.select("u", "v").join(root("u"), "u").join(root("v"), "v").filter("now_u <> now_v").select("u", "v").distinct()
+    by_class = near.groupBy(F.least("of_u", "of_v").alias("a"), F.greatest("of_u", "of_v").alias("b")).agg(F.min(F.struct("u", "v")).alias("first"))
+    by_class = written(by_class, "touching")
+
+    def joined(classes: DataFrame, pairs: DataFrame) -> DataFrame:
         within_class = classes.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
-        classes = _classes(prints, within_class.unionByName(_alike(pairs, sets, similarity)))
-    return classes
+        return _classes(prints, within_class.unionByName(_alike(pairs, sets, similarity)))
+
+    classes = joined(classes, by_class.select("first.*"))
+    # A class was named by one of its fingerprints, which tells what it belongs to now.
+    now = lambda x: classes.select(F.col("fp").alias(x), F.col("root").alias(f"now_{x}"))
+    apart = by_class.join(now("a"), "a").join(now("b"), "b").filter("now_a <> now_b").select("a", "b", "first")
+    rest = near.withColumn("a", F.least("of_u", "of_v")).withColumn("b", F.greatest("of_u", "of_v")).join(apart, ["a", "b"])
+    rest = rest.filter((F.col("u") != F.col("first.u")) | (F.col("v") != F.col("first.v"))).select("u", "v").distinct()
+    return joined(classes, rest)
 
 
 def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
