@@ -20,6 +20,8 @@ ORDER = 4
 CONTEXT_SHARE, FOLLOWER_SHARE, LEAST = 2e-5, 4e-6, 2
 ALPHABET = 256.0
 FOLDS = 5
+#: URLs of a task that spreads them out by character, and rows of one (id, url) that are made at a time.
+URLS, COPIES = 4096, 4096
 _START, _END = "\u0002", "\u0003"
 
 
@@ -50,7 +52,7 @@ def _windows(urls: DataFrame, *keep: str) -> DataFrame:
     return chars.filter(F.size(c) > ORDER).select(*keep, F.explode(grams).alias("g"))
 
 
-def learn(urls: DataFrame) -> DataFrame:
+def learn(urls: DataFrame, context_share: float = CONTEXT_SHARE, follower_share: float = FOLLOWER_SHARE, least: int = LEAST) -> DataFrame:
     """(context, na, ta, nr, tr, next): the model, for URLs in (url, verdict, n), n copies each.
 
     na: times the context occurs in accepted URLs, ta: distinct characters after it there; nr, tr: in rejected ones;
@@ -65,11 +67,11 @@ def learn(urls: DataFrame) -> DataFrame:
         gram = F.substring("g", ORDER + 1 - k, k + 1)
         g = seen.groupBy(gram.alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
         g = g.select(F.substring("g", 1, k).alias("context"), F.substring("g", k + 1, 1).alias("ch"), "a", "r")
-        kept = F.col("a") + F.col("r") >= FOLLOWER_SHARE * total
+        kept = F.col("a") + F.col("r") >= follower_share * total
         entry = F.when(kept, F.struct(F.col("ch").alias("key"), F.struct("a", "r").alias("value")))
         level = g.groupBy("context").agg(F.sum("a").alias("na"), F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum("r").alias("nr"), F.sum((F.col("r") > 0).cast("long")).alias("tr"), F.map_from_entries(F.collect_list(entry)).alias("next"))
         if k:
-            level = level.filter(F.col("na") + F.col("nr") >= max(LEAST, CONTEXT_SHARE * total))
+            level = level.filter(F.col("na") + F.col("nr") >= max(least, context_share * total))
         out = level if out is None else out.unionByName(level)
     return written(out, "urlmodel")
 
@@ -81,7 +83,7 @@ def ratios(urls: DataFrame, model: DataFrame, key: str) -> DataFrame:
     the model lacks are skipped, so the order varies from place to place.
     """
     d = _windows(urls, key).withColumn("ch", F.substring("g", ORDER + 1, 1))
-    small = F.broadcast(model)  # bounded by CONTEXT_SHARE and FOLLOWER_SHARE
+    small = F.broadcast(model)  # bounded by context_share and follower_share
     pa, pr = F.lit(1 / ALPHABET), F.lit(1 / ALPHABET)
     for k in range(ORDER + 1):
         names = {c: f"{c}{k}" for c in model.columns}
@@ -118,14 +120,17 @@ def calibrate(scored: DataFrame) -> float:
     return best[1]
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """(id, host, path, rule, verdict, ratio) for every row.
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, context_share: float = CONTEXT_SHARE, follower_share: float = FOLLOWER_SHARE) -> DataFrame:
+    """(id, host, path, rule, verdict, ratio) for every row; ratio is null where no model was asked.
 
     The longest fitting rule decides. Elsewhere the models do, learned from the URLs that a rule decides: a fifth of
     those (by hash of the URL) calibrates the threshold, the rest trains. A URL whose ratio is below the threshold is
     blocked; a null or empty URL is allowed, as there is nothing to hold against it. Repeated rows count as often as
-    they occur and are all returned; null ids stay null. Rows are folded by (id, url) before anything is spread out by
-    character, and only bounded model tables are broadcast.
+    they occur and are all returned; null ids stay null; an empty table gives none. Ties of rules go to the one listed
+    last, a ratio at the threshold is allowed. Very long URLs are read whole. Rows are folded by (id, url) and dealt out
+    evenly before anything is spread out by character, and only bounded model tables are broadcast: contexts and
+    characters after them below ``context_share`` and ``follower_share`` of all positions are not in them. Other columns
+    are not read, whatever they are called.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).groupBy("id", "url").agg(F.count("*").alias("n"))
     host, path = host_and_path(F.col("url"))
@@ -133,11 +138,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = written(rows.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("row", F.monotonically_increasing_id()), "urls")
     held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
-    ruled = rows.filter("verdict is not null and url is not null")
-    model = learn(ruled.filter(~held))
-    scored = written(ratios(rows.filter("url is not null and url <> ''").select("row", "url"), model, "row"), "ratios")
+    # URLs are few bytes and many characters: they are dealt by their number, not by their size.
+    dealt = rows.filter("url is not null and url <> ''").repartition(max(1, -(-rows.count() // URLS)), "row")
+    ruled = dealt.filter("verdict is not null")
+    model = learn(ruled.filter(~held), context_share, follower_share)
+    scored = written(ratios(dealt.filter(F.col("verdict").isNull() | held).select("row", "url"), model, "row"), "ratios")
     threshold = calibrate(ruled.filter(held).join(scored, "row"))
     out = rows.join(scored, "row", "left")
     own = F.when(F.col("ratio") < threshold, "block").otherwise("allow")
-    out = out.withColumn("verdict", F.coalesce("verdict", own))
-    return out.select("id", "host", "path", "rule", "verdict", "ratio", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("col")
+    out = out.withColumn("verdict", F.coalesce("verdict", own)).withColumn("__n", F.col("n"))
+    # In two steps, so that a row repeated very often is no very large array.
+    out = out.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES))))
+    copies = F.least(F.lit(COPIES).cast("long"), F.col("__n") - F.col("__part") * COPIES).cast("int")
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select("id", "host", "path", "rule", "verdict", "ratio")
