@@ -192,18 +192,19 @@ def test_wide_links_are_verified(spark):
     assert len(set(got.values())) < len(set(narrow.values()))
 
 
-def every_pair(rows, bits):
+def every_pair(rows, bits, prints=1):
     """Component of each row (id, text) by its place: all pairs of rows are compared, whatever group they are in."""
 
     def shingled(t):
         w = (t or "").encode().lower().split()
         return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
-    fps, sets = [slow_simhash(t) for _, t in rows], [shingled(t) for _, t in rows]
+    fps, sets = [simhash.simhashes((t or "").encode(), 3, prints) for _, t in rows], [shingled(t) for _, t in rows]
+    assert [f[0] for f in fps] == [slow_simhash(t) for _, t in rows]
     found = []
     for x, y in combinations(range(len(rows)), 2):
-        d, s, t = (fps[x] ^ fps[y]).bit_count(), sets[x], sets[y]
-        if d <= 3 or d <= bits and s and t and len(s & t) >= 0.8 * len(s | t):
+        d, s, t = [(a ^ b).bit_count() for a, b in zip(fps[x], fps[y], strict=True)], sets[x], sets[y]
+        if d[0] <= 3 or min(d) <= bits and s and t and len(s & t) >= 0.8 * len(s | t):
             found.append((x, y))
     root = groups(range(len(rows)), found)
     least = {}
@@ -242,18 +243,9 @@ def test_wide_links_of_all_members(spark):
 def test_further_fingerprints_add_links(spark, prints):
     """Texts link if any of their fingerprints are near and they are alike."""
     rows = edits_of_edits()
-    fps = [simhash.simhashes((t or "").encode(), 3, prints) for _, t in rows]
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
-    found = []
-    for x, y in combinations(range(len(rows)), 2):
-        d = [(a ^ b).bit_count() for a, b in zip(fps[x], fps[y], strict=True)]
-        if d[0] <= 3 or (min(d) <= 6 and sets[x] and sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])):
-            found.append((x, y))
-    root, least = groups(range(len(rows)), found), {}
-    for k, (i, _) in enumerate(rows):
-        least[root[k]] = min((x for x in (least.get(root[k]), i) if x is not None), default=None)
+    want = every_pair(rows, 6, prints)
     got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), wide_bits=6, prints=prints).collect()
-    assert sorted(((r.id, r.component_id) for r in got), key=repr) == sorted(((i, least[root[k]]) for k, (i, _) in enumerate(rows)), key=repr)
+    assert sorted(((r.id, r.component_id) for r in got), key=repr) == sorted(((i, c) for (i, _), c in zip(rows, want, strict=True)), key=repr)
 
 
 def test_one_row_of_a_group_stays_for_repeated_ids(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from palimpsest.llm import catalog
-from tests.llm.test_dedup import slow_simhash, slow_wide
+from tests.llm.test_dedup import every_pair, slow_simhash
 from tests.llm.test_mixing_packing import slow_targets
 
 SF = "/root/testdata/sf0.001"
@@ -38,7 +38,8 @@ def test_stages(spark):
     assert kept == {r.doc_id for r in start.collect()} - {10**6, 10**6 + 1, 10**6 + 2}
 
     two = corpus_pipeline.near_dedup(spark, one, SF)
-    least = slow_wide([(r.doc_id, r.text) for r in one.collect()], corpus_pipeline.WIDE_BITS)
+    rows = [(r.doc_id, r.text) for r in one.collect()]
+    least = dict(zip((i for i, _ in rows), every_pair(rows, corpus_pipeline.WIDE_BITS, corpus_pipeline.PRINTS), strict=True))
     assert two.columns == docs.columns and sorted(r.doc_id for r in two.collect()) == sorted(set(least.values()))
     assert not any(r.doc_id >= 2 * 10**6 for r in two.collect())
 
