@@ -307,7 +307,8 @@ def _widened(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, print
     cost one verification instead of one for each pair of members.
     """
     near = _near(rows, classes, bits, of)
-    sets = _sets(docs, id_col, text_col, rows, near.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), shingle)
+    ends = near.select(F.col("u").alias("fp")).distinct().unionByName(near.select(F.col("v").alias("fp")).distinct()).distinct()
+    sets = _sets(docs, id_col, text_col, rows, ends, shingle)
     by_class = near.groupBy(F.least("of_u", "of_v").alias("a"), F.greatest("of_u", "of_v").alias("b")).agg(F.min(F.struct("u", "v")).alias("first"))
     by_class = written(by_class, "touching")
 
