@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import simhash
+from palimpsest.llm import components, simhash
 from palimpsest.llm.components import connected_components
 
 DOCS = "doc_id long, text string"
@@ -61,6 +61,27 @@ def test_components(spark):
         assert got == {x: want[x] for x in linked}
 
 
+def test_components_beyond_one_task(spark, monkeypatch):
+    """Star steps finish what one task may not hold; a task that holds too many nodes sends them on in parts."""
+    monkeypatch.setattr(components, "HELD", 20)
+    rng = random.Random(4)
+    links = [*((i, i + 1) for i in range(150)), *((rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)), (7, 7)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "u long, v long").repartition(3)).collect()}
+    want = groups(range(400), links)
+    assert got == {x: want[x] for x in {x for a, b in links if a != b for x in (a, b)}}
+
+
+def test_components_take_few_jobs(spark):
+    """Jobs, stages and plans stay in the driver's memory; a long chain took some for every round."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(199)], "u long, v long")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        assert {r.root for r in connected_components(links).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 8
+
+
 def prints(spark, rng, n=300):
     """Clusters of fingerprints at distances around the limit."""
     out = set()
