@@ -7,6 +7,7 @@ counts, the thresholds are probed by equi-joins, and every candidate is verified
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -18,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import written
-from palimpsest.llm.components import connected_components
+from palimpsest.llm.components import Union, connected_components
 
 BITS = 64
 SEED = 42
 #: Hashes whose bits are summed at a time.
 CHUNK = 1 << 15
+#: Fingerprints in a block; the pairs of two blocks are verified together.
+SIDE = 128
 
 
 def _remixed(h: np.ndarray, times: int) -> np.ndarray:
@@ -288,41 +291,66 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, asked: D
     return written(texts.select("fp", _shingle_set(F.col("text"), shingle).alias("set")).distinct().withColumn("n", F.size("set")).filter("n > 0"), "sets")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs of fingerprints (u, v) that belong to two texts, one of each, which share ``similarity`` of their
-    shingles. All texts of both are compared."""
-    share = F.lit(similarity)
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("su"), F.col("n").alias("nu")), "u")
-    sizes = (F.col("nu") >= share * F.col("nv")) & (F.col("nv") >= share * F.col("nu"))
-    both = both.join(sets.select(F.col("fp").alias("v"), F.col("set").alias("sv"), F.col("n").alias("nv")), "v").filter(sizes)
-    shared = F.size(F.array_intersect("su", "sv"))
-    return both.filter(shared >= share * (F.col("nu") + F.col("nv") - shared)).select("u", "v").distinct()
+def _dealt(near: DataFrame) -> DataFrame:
+    """``near`` with (c, a, b), the group in which a pair is verified.
 
+    Fingerprints that are connected over pairs are dealt to blocks of about SIDE, and the pairs of two blocks are one
+    group: a text goes to a group for each block that its fingerprint has pairs with, not for each pair. What is connected
+    and fits one block shares a group with others.
+    """
+    found = connected_components(near)
+    sizes = found.groupBy("root").agg(F.ceil(F.count("*") / SIDE).alias("blocks"))
+    place = written(found.join(sizes, "root").select(F.col("node").alias("u"), F.col("root").alias("c"), "blocks"), "place")
+    bins = max(1, -(-place.count() // SIDE))
+    x, y = (F.pmod(F.xxhash64(n), F.col("blocks")).cast("int") for n in ("u", "v"))
+    whole = F.col("blocks") == 1
+    c = F.when(whole, F.pmod(F.xxhash64("c"), F.lit(bins))).otherwise(F.col("c"))
+    keys = [c.alias("c"), F.when(whole, -1).otherwise(F.least(x, y)).alias("a"), F.when(whole, -1).otherwise(F.greatest(x, y)).alias("b")]
+    return written(near.join(place, "u").select(*keys, "u", "v", "of_u", "of_v"), "dealt")
 
-def _widened(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, prints: DataFrame, classes: DataFrame, bits: int, of: int, similarity: float, shingle: int) -> DataFrame:
-    """The classes after linking what is near by any of ``of`` fingerprints and alike.
 
-    One pair of each two classes is verified first; as classes that it joins need no other link, only pairs whose
-    classes are still different are verified then, all of them. So no link is lost, and two large groups that touch
-    cost one verification instead of one for each pair of members.
+def _asked(dealt: DataFrame) -> DataFrame:
+    """(c, a, b, fp): the fingerprints of each group."""
+    ends = [dealt.select("c", "a", "b", F.col(x).alias("fp")).distinct() for x in ("u", "v")]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
+def _alike(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of fingerprints that belong to two texts, one of each, which share ``similarity`` of their shingles.
+
+    All texts of both are compared, unless the classes of the two are joined by other links of the same group already:
+    the links join the same classes as those of all pairs.
     """
+
+    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        by, joined, found = defaultdict(list), Union(), []
+        for fp, s in zip(texts["fp"].to_pylist(), texts["set"], strict=True):
+            by[fp].append(s.values.to_numpy())
+
+        def alike(s: np.ndarray, t: np.ndarray) -> bool:
+            if min(len(s), len(t)) < similarity * max(len(s), len(t)):
+                return False
+            shared = len(np.intersect1d(s, t, assume_unique=True))
+            return shared >= similarity * (len(s) + len(t) - shared)
+
+        for u, v, x, y in zip(*(pairs[n].to_pylist() for n in ("u", "v", "of_u", "of_v")), strict=True):
+            if joined.find(x) != joined.find(y) and any(alike(s, t) for s in by.get(u, ()) for t in by.get(v, ())):
+                joined.link(x, y)
+                found.append((u, v))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    texts = sets.join(_asked(dealt), "fp").select(F.col("c").alias("of_c"), F.col("a").alias("of_a"), F.col("b").alias("of_b"), "fp", "set")
+    return texts.groupBy("of_c", "of_a", "of_b").cogroup(dealt.groupBy("c", "a", "b")).applyInArrow(run, "u long, v long")
+
+
+def _widened(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, prints: DataFrame, classes: DataFrame, bits: int, of: int, similarity: float, shingle: int) -> DataFrame:
+    """The classes after linking what is near by any of ``of`` fingerprints and alike."""
     near = _near(rows, classes, bits, of)
     ends = near.select(F.col("u").alias("fp")).distinct().unionByName(near.select(F.col("v").alias("fp")).distinct()).distinct()
     sets = _sets(docs, id_col, text_col, rows, ends, shingle)
-    by_class = near.groupBy(F.least("of_u", "of_v").alias("a"), F.greatest("of_u", "of_v").alias("b")).agg(F.min(F.struct("u", "v")).alias("first"))
-    by_class = written(by_class, "touching")
-
-    def joined(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-        within_class = classes.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
-        return _classes(prints, within_class.unionByName(_alike(pairs, sets, similarity)))
-
-    classes = joined(classes, by_class.select("first.*"))
-    # A class was named by one of its fingerprints, which tells what it belongs to now.
-    now = lambda x: classes.select(F.col("fp").alias(x), F.col("root").alias(f"now_{x}"))
-    apart = by_class.join(now("a"), "a").join(now("b"), "b").filter("now_a <> now_b").select("a", "b", "first")
-    rest = near.withColumn("a", F.least("of_u", "of_v")).withColumn("b", F.greatest("of_u", "of_v")).join(apart, ["a", "b"])
-    rest = rest.filter((F.col("u") != F.col("first.u")) | (F.col("v") != F.col("first.v"))).select("u", "v").distinct()
-    return joined(classes, rest)
+    within_class = classes.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+    # Written: a stage that verifies and makes a forest would hold two Python workers for each core.
+    return _classes(prints, within_class.unionByName(written(_alike(_dealt(near), sets, similarity), "alike")))
 
 
 def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:

@@ -260,6 +260,34 @@ def test_wide_links_of_all_members(spark):
     assert len(set(want)) < len(set(first.values()))
 
 
+def test_texts_of_a_large_group_are_sent_by_block(spark, monkeypatch):
+    """Of many near copies of one text, a text is sent for each block of others, not for each pair; no link is lost."""
+    monkeypatch.setattr(simhash, "SIDE", 16)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    first, rows = [word() for _ in range(150)], []
+    for k in range(120):
+        words = list(first)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 5, 7])):
+            words[at] = word()
+        rows.append((k, " ".join(words)))
+    seen, alike = [], simhash._alike
+
+    def counted(dealt, sets, similarity):
+        sent = sets.join(simhash._asked(dealt), "fp")
+        seen.append((dealt.count(), dealt.select("c", "a", "b").distinct().count(), sent.count(), sets.count()))
+        out = alike(dealt, sets, similarity).cache()
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), wide_bits=7, prints=2).collect()
+    want = every_pair(rows, 7, 2)
+    assert sorted((r.id, r.component_id) for r in got) == sorted((i, c) for (i, _), c in zip(rows, want, strict=True))
+    (pairs, groups_of, sent, texts), links = seen
+    assert pairs > 500 and groups_of > 5 and sent <= 10 * texts and sent < pairs and links < pairs / 4
+
+
 @pytest.mark.parametrize("prints", [2, 3])
 def test_further_fingerprints_add_links(spark, prints):
     """Texts link if any of their fingerprints are near and they are alike."""
