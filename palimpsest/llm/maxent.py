@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,10 @@ END = b"\n"
 FIRST, BATCH, RATE, SHRINK = 512, 8192, 0.15, 4.0
 #: Distinct words a counting task holds; tokens a scoring task handles at a time; weight rows in a block; fan-in.
 HELD, SPAN, BLOCK, FAN = 400_000, 1 << 14, 256, 16
+#: Tokens that a counting task counts at a time; sums of exponentials that need no shift of the exponents.
+COUNTED, LEAST, MOST = 1 << 18, 1e-25, 1e25
+#: Gradients of a row that are added one by one.
+RUN = 8
 _PUNCT = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 
@@ -71,32 +76,62 @@ class _Memo(dict):
         return x
 
 
+class _Numbers(dict):
+    """Word to its number, in the order in which words are first asked for."""
+
+    def __missing__(self, word):
+        x = self[word] = len(self)
+        return x
+
+
 # --- counts ---
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, pairs, memo = Counter(), np.zeros(ENDINGS * ENDINGS, dtype=np.int64), _Memo(ending)
+    # Words are numbered as they come, END first; a chunk's numbers are counted together.
+    words, pairs, endings = _Numbers(), np.zeros(ENDINGS * ENDINGS, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    counts, chunk, size = np.zeros(0, dtype=np.int64), [], 0
 
     def out(kind: int, words, keys, n) -> pa.RecordBatch:
         m = len(n)
         return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(words, pa.binary()), pa.array(keys, pa.int32()), pa.array(n, pa.int64())], names=["kind", "word", "key", "n"])
 
+    def add() -> None:
+        nonlocal counts, endings, size
+        ids = np.concatenate(chunk)
+        endings = np.append(endings, np.array([ending(w) for w in islice(words, len(endings), None)], dtype=np.int64))
+        n = np.bincount(ids, minlength=len(words))
+        n[: len(counts)] += counts
+        counts, e = n, endings[ids]
+        # No pair goes from one text to the next.
+        inside = np.flatnonzero(ids[:-1] != 0)
+        np.add.at(pairs, e[inside] * ENDINGS + e[inside + 1], 1)
+        chunk.clear()
+        size = 0
+
     def flush() -> pa.RecordBatch:
-        words = list(counts)
-        b = out(0, words, [ending(w) for w in words], list(counts.values()))
-        counts.clear()
+        nonlocal counts, endings
+        at = np.flatnonzero(counts)
+        names = list(words)
+        b = out(0, [names[k] for k in at], endings[at].astype(np.int32), counts[at])
+        words.clear()
+        words[END]  # noqa: B018
+        counts = endings = np.zeros(0, dtype=np.int64)
         return b
 
+    words[END]  # noqa: B018
     for batch in batches:
         for x in batch.column(0):
-            words = tokens(x.as_py())
-            counts.update(words)
-            e = np.array([memo[w] for w in words], dtype=np.int64)
-            if len(e) > 1:
-                np.add.at(pairs, e[:-1] * ENDINGS + e[1:], 1)
-            if len(counts) > HELD:
-                yield flush()
-    if counts:
+            text = tokens(x.as_py())
+            chunk.append(np.fromiter(map(words.__getitem__, text), np.int64, len(text)))
+            size += len(text)
+            if size >= COUNTED or len(words) > HELD:
+                add()
+                if len(words) > HELD:
+                    yield flush()
+    if chunk:
+        add()
+    if len(counts):
         yield flush()
     at = np.flatnonzero(pairs)
     if len(at):
@@ -215,25 +250,39 @@ def inner(rows: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
 
 
 def _logits(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = weights[rows[0]]
+    # "clip" spares a copy; all rows are in the table.
+    z = weights.take(rows[0], axis=0, mode="clip")
+    part = np.empty_like(z)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, axis=0, out=part, mode="clip")
     z += bias
-    z -= z.max(axis=1, keepdims=True)
     return z
 
 
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of z less a shift of each row, their sums by row, and the shift: 0, or the largest of a row if some sum
+    would be too large or small for floats."""
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        total = e @ np.ones(z.shape[1], dtype=z.dtype)
+    if len(z) and LEAST < total.min() and total.max() < MOST:
+        return e, total, 0.0
+    shift = z.max(axis=1, initial=NONE)
+    e = np.exp(z - shift[:, None])
+    return e, e.sum(axis=1), shift
+
+
 def _softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = _logits(bias, weights, rows)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    e, total, _ = _exp(_logits(bias, weights, rows))
+    e /= total[:, None]
+    return e
 
 
 def _log_softmax_at(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     z = _logits(bias, weights, rows)
     mine = z[np.arange(len(y)), y]
-    return mine - np.log(np.exp(z, out=z).sum(axis=1))
+    _, total, shift = _exp(z)
+    return mine - shift - np.log(total)
 
 
 def log_probs(m: Model, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -250,11 +299,9 @@ def log_probs(m: Model, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _encode(m: Model, texts: list[list[bytes]], coder: _Memo) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all tokens with three bos before each text, and the positions of the tokens."""
-    flat: list[int] = []
-    for words in texts:
-        flat += (m.bos, m.bos, m.bos)
-        flat += [coder[w] for w in words]
-    codes = np.array(flat, dtype=np.int64)
+    start = np.full(3, m.bos)
+    flat = [x for words in texts for x in (start, np.fromiter(map(coder.__getitem__, words), np.int64, len(words)))]
+    codes = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64)
     return codes, np.flatnonzero(codes != m.bos)
 
 
@@ -268,22 +315,26 @@ class _Table:
     def push(self, rows: np.ndarray, grad: np.ndarray) -> None:
         """Adds the gradients of equal rows and makes one step on each row."""
         order = np.argsort(rows, kind="stable")
-        s, g = rows[order], grad[order]
+        s = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         n = np.diff(np.append(starts, len(s)))
-        # Most rows have a few gradients; reduceat is slow on short runs.
-        total, few = g[starts], n <= 4
-        for k in (1, 2, 3):
-            more = np.flatnonzero(few & (n > k))
-            total[more] += g[starts[more] + k]
-        many = np.flatnonzero(~few)
-        if len(many):
-            total[many] = np.add.reduceat(g[np.repeat(~few, n)], np.cumsum(n[many]) - n[many], axis=0)
+        # Rows with most gradients first: those with more than k are the first ones. reduceat is slow on short runs.
+        by = np.argsort(-n, kind="stable")
+        starts, n = starts[by], n[by]
+        total = grad.take(order[starts], axis=0)
+        many = int(np.count_nonzero(n > RUN))
+        for k in range(1, RUN):
+            more = int(np.count_nonzero(n > k))
+            total[many:more] += grad.take(order[starts[many:more] + k], axis=0)
+        if many:
+            at = np.cumsum(n[:many]) - n[:many]
+            each = np.arange(n[:many].sum()) + np.repeat(starts[:many] - at, n[:many])
+            total[:many] = np.add.reduceat(grad.take(order[each], axis=0), at, axis=0)
         r = s[starts]
         acc = self.acc[r] + np.einsum("ij,ij->i", total, total) / total.shape[1]
         self.acc[r] = acc
         total *= (RATE / np.sqrt(acc + 1e-4))[:, None]
-        self.w[r] -= total
+        self.w[r] = self.w.take(r, axis=0) - total
         self.hits[r] += n
 
 
@@ -416,13 +467,14 @@ def score_texts(m: Model, texts: list[bytes | None], coder: _Memo) -> list[tuple
     known, base, model = (np.zeros(len(words)) for _ in range(3))
     tails: list[Counter] = [Counter() for _ in words]
     log_c = np.log10(m.counts + 0.5) if len(m.counts) else np.zeros(1)
-    flat: list[int] = []
+    flat: list[np.ndarray] = []
+    size, start = 0, np.full(3, m.bos)
     at: list[np.ndarray] = []
     owner: list[np.ndarray] = []
     place: list[np.ndarray] = []
 
     def flush() -> None:
-        codes, pos, doc, nth = np.array(flat, dtype=np.int64), np.concatenate(at), np.concatenate(owner), np.concatenate(place)
+        codes, pos, doc, nth = np.concatenate(flat), np.concatenate(at), np.concatenate(owner), np.concatenate(place)
         y = codes[pos]
         is_known, in_tail = y < m.known, m.member_of[y] < 0
         c = np.where(is_known, log_c[np.minimum(y, len(log_c) - 1)], 0.0)
@@ -438,13 +490,14 @@ def score_texts(m: Model, texts: list[bytes | None], coder: _Memo) -> list[tuple
         for a in range(0, len(w), SPAN):
             h = min(a, 3)
             piece = w[a - h : a + SPAN]
-            flat += (m.bos, m.bos, m.bos)
-            at.append(np.arange(len(flat) + h, len(flat) + len(piece)))
-            flat += [coder[x] for x in piece]
+            flat += (start, np.fromiter(map(coder.__getitem__, piece), np.int64, len(piece)))
+            at.append(np.arange(size + 3 + h, size + 3 + len(piece)))
+            size += 3 + len(piece)
             owner.append(np.full(len(piece) - h, k))
             place.append(np.arange(a, a + len(piece) - h))
-            if len(flat) >= SPAN:
+            if size >= SPAN:
                 flush()
+                size = 0
     if flat:
         flush()
     return [(len(w), int(n), float(b), float(s), t) for w, n, b, s, t in zip(words, known, base, model, tails, strict=True)]

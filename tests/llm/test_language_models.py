@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,48 @@ def test_a_gradient_step_lowers_the_loss(spark):
     m.class_w, m.member_w = top.w, deep.w
     assert maxent.log_probs(m, codes, at[:500]).sum() > maxent.log_probs(maxent.Model(**{**m.__dict__, "class_w": m.class_w * 0, "member_w": m.member_w * 0}), codes, at[:500]).sum()
     assert np.isfinite(before)
+
+
+def test_counts_of_chunks_and_full_tables(monkeypatch):
+    """Words, endings and pairs counted by number are those of a plain count, whatever a task holds at a time."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 30))).encode() for _ in range(40)]
+    want, pairs = Counter(w for t in texts for w in maxent.tokens(t)), Counter()
+    for t in texts:
+        e = [maxent.ending(w) for w in maxent.tokens(t)]
+        pairs.update(a * maxent.ENDINGS + b for a, b in zip(e, e[1:], strict=False))
+    for counted, held in ((1, 5), (50, 5), (50, 10**6), (10**6, 10**6)):
+        monkeypatch.setattr(maxent, "COUNTED", counted)
+        monkeypatch.setattr(maxent, "HELD", held)
+        words, found = Counter(), Counter()
+        for b in maxent._count(iter([pa.RecordBatch.from_arrays([pa.array(texts[a : a + 7], pa.binary())], names=["text"]) for a in range(0, 40, 7)])):
+            for r in b.to_pylist():
+                assert r["kind"] == 1 or r["key"] == maxent.ending(r["word"])
+                (found if r["kind"] else words).update({r["key"] if r["kind"] else r["word"]: r["n"]})
+        assert words == want and found == pairs
+
+
+def test_exponentials_of_any_size():
+    """Rows far apart, and too large or small for floats, have the shares that doubles give."""
+    rng = np.random.default_rng(7)
+    for shift in (0.0, 15.0, 200.0, -300.0):
+        z = (rng.normal(size=(50, 8)) * 3 + shift * np.arange(50)[:, None] / 49).astype(np.float32)
+        e, total, off = maxent._exp(z)
+        d = z.astype(np.float64)
+        want = np.log(np.exp(d - d.max(axis=1)[:, None]).sum(axis=1)) + d.max(axis=1)
+        assert np.allclose(np.log(total) + off, want, rtol=1e-5, atol=1e-4)
+        assert np.allclose(e / total[:, None], np.exp(d - want[:, None]), atol=1e-5)
+
+
+def test_gradients_of_equal_rows_are_added():
+    """Runs of all lengths, shorter and longer than RUN."""
+    rng = np.random.default_rng(8)
+    rows = np.repeat(np.arange(60), np.arange(60) % 25 + 1).astype(np.uint16)
+    rng.shuffle(rows)
+    grad = rng.normal(size=(len(rows), 4)).astype(np.float32)
+    t = maxent._Table(np.zeros((64, 4), dtype=np.float32))
+    t.push(rows, grad)
+    total = np.zeros((64, 4))
+    np.add.at(total, rows, grad)
+    step = maxent.RATE * total / np.sqrt((total**2).mean(axis=1, keepdims=True) + 1e-4)
+    assert max(np.bincount(rows)) > maxent.RUN and np.allclose(t.w, -step, atol=1e-5) and (t.hits == np.bincount(rows, minlength=64)).all()
