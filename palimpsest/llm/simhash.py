@@ -27,6 +27,11 @@ SEED = 42
 CHUNK = 1 << 15
 #: Fingerprints in a block; the pairs of two blocks are verified together.
 SIDE = 128
+#: Of more connected fingerprints no pairs are made as rows. Their texts are dealt to blocks of BLOCK texts or SHINGLES
+#: hashes, and a task searches the pairs of two blocks and verifies them.
+LARGE, BLOCK, SHINGLES = 256, 2048, 1 << 20
+#: Candidate pairs that a task looks at at a time, and rows of a key beyond which those linked already are passed over.
+AT_ONCE, CROWD = 1 << 16, 512
 
 
 def _remixed(h: np.ndarray, times: int) -> np.ndarray:
@@ -252,6 +257,101 @@ def links(prints: DataFrame, max_bits: int, parts: list[tuple[list[int], int]],
     return found.select(*pair("u", "v"), *(pair("of_u", "of_v") if apart else []))
 
 
+def _bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
+class _Labels:
+    """Union-find over 0 .. n - 1 by arrays: ``of[x]`` is the least number that x is linked with."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
+        while True:
+            a, b = self.of[x], self.of[y]
+            apart = a != b
+            if not apart.any():
+                return
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            np.minimum.at(self.of, np.maximum(a, b), np.minimum(a, b))
+            while (up := self.of[self.of]).tobytes() != self.of.tobytes():
+                self.of = up
+
+
+def _meet(part: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, probe: np.ndarray, max_bits: int) -> _Labels:
+    """Links of ``node`` (0 .. n - 1) over all pairs of rows with one part and key, one of them no probe, within ``max_bits``."""
+    labels = _Labels(int(node.max()) + 1)
+    by = np.lexsort((probe, key, part))  # of a key the offered rows come first
+    part, key, fp, node, probe = part[by], key[by], fp[by], node[by], probe[by]
+    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
+    sizes = np.diff(np.r_[starts, len(key)])
+    offered = np.add.reduceat((~probe).astype(np.int64), starts)
+    # A row meets the offered rows before it.
+    start, most = np.repeat(starts, sizes), np.repeat(offered, sizes)
+    meets = np.minimum(np.arange(len(key)) - start, most)
+    meets[np.repeat((offered > CROWD), sizes)] = 0
+    rows = np.flatnonzero(meets)
+    ends = np.cumsum(meets[rows])
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        some, at = rows[at:to], to
+        n = meets[some]
+        x = np.repeat(some, n)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + start[x]
+        near = _bits_apart(fp[x], fp[y]) <= max_bits
+        labels.link(node[x[near]], node[y[near]])
+    for k in np.flatnonzero(offered > CROWD):
+        among = slice(starts[k], starts[k] + offered[k])
+        for a in range(starts[k], starts[k] + sizes[k], CROWD):
+            b = min(a + CROWD, starts[k] + sizes[k])
+            mine, theirs = labels.of[node[a:b]], labels.of[node[among]]
+            for label in np.unique(mine):
+                x, y = a + np.flatnonzero(mine == label), starts[k] + np.flatnonzero(theirs != label)
+                step = max(1, AT_ONCE // max(1, len(x)))
+                for c in range(0, len(y), step):
+                    i, j = np.nonzero(_bits_apart(fp[x][:, None], fp[y[c : c + step]][None, :]) <= max_bits)
+                    labels.link(node[x[i]], node[y[c + j]])
+    return labels
+
+
+def tied(tables: list[tuple[DataFrame, list[tuple[list[int], int]]]], max_bits: int, node: str = "fp", flips: bool = True) -> DataFrame:
+    """(u, v): links that join the same values of column ``node`` as all pairs of rows within ``max_bits`` (column fp) do.
+
+    ``tables``: rows and the plan for them; rows of different tables don't meet. Rows that share a key are compared in one
+    task, which sends a link for each value that it ties to a smaller one: no pair becomes a row, however large a group is.
+    Without ``flips`` only rows with equal bits in a group meet.
+    """
+    fp, out, before = F.col("fp"), [], 0
+    for rows, parts in tables:
+        keys = []
+        for k, (bits, threshold) in enumerate(parts, before):
+            most = threshold if flips else 0
+            flipped = F.array(*(F.lit(mask(list(c))) for t in range(most + 1) for c in combinations(bits, t)))
+            # At threshold 1 flips of zeros do, as in links.
+            flipped = F.filter(flipped, lambda b: fp.bitwiseAND(b) == 0) if most == 1 else flipped
+            keys.append(_keyed(flipped, fp.bitwiseAND(F.lit(mask(bits))), k))
+        before += len(parts)
+        out.append(rows.select(F.col(node).alias("node"), "fp", F.explode(F.concat(*keys)).alias("x")).select("x.*", "fp", "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+        if held:
+            part, key, probe, own, of = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            names, of = np.unique(of, return_inverse=True)
+            root = _meet(part, key, own, of, probe, max_bits).of
+            u = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[u]), pa.array(names[root[u]])], names=["u", "v"])
+
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionAll(x)
+    # Written: a stage that ties and makes a forest would hold two Python workers for each core.
+    return written(every.repartition("part", "key").mapInArrow(run, "u long, v long"), "tied")
+
+
 def _shingle_set(text: Column, shingle: int) -> Column:
     """Sorted different 64-bit hashes of a text's shingles; of a text with fewer words, of the whole; none without."""
 
@@ -270,15 +370,39 @@ def _shingle_set(text: Column, shingle: int) -> Column:
     return F.arrow_udf(run, "array<long>")(text.cast("binary"))
 
 
-def _near(rows: DataFrame, classes: DataFrame, bits: int, prints: int) -> DataFrame:
-    """(u, v, of_u, of_v): fingerprints (the first ones) of different classes, and these, of which some of the ``prints``
-    fingerprints of two texts differ in at most ``bits`` bits."""
-    out = links(classes, bits, plan(classes, bits, "root"), "root")
+def _own(rows: DataFrame, classes: DataFrame, prints: int) -> list[DataFrame]:
+    """For each of the ``prints`` fingerprints (node, fp, root): it, the first one and its class; further ones with those
+    before them (before)."""
+    out = [classes.select(F.col("fp").alias("node"), "fp", "root")]
     for k in range(1, prints):
         own = rows.select(F.col("fp").alias("node"), F.slice(F.concat(F.array("fp"), "more"), 1, k).alias("before"), F.col("more")[k - 1].alias("value")).distinct()
         own = own.join(classes.select(F.col("fp").alias("node"), "root"), "node")
-        own = written(own.select("node", "before", F.col("value").alias("fp"), "root"), "prints")
-        out = out.unionByName(links(own, bits, plan(own, bits, "root"), "root", "node", "before"))
+        out.append(written(own.select("node", "before", F.col("value").alias("fp"), "root"), "prints"))
+    return out
+
+
+def _clusters(own: list[DataFrame], plans: list, classes: DataFrame, bits: int) -> DataFrame:
+    """(root, c, n) of all classes that are connected with others over pairs within ``bits``: c stands for what is
+    connected, n is its number of fingerprints.
+
+    Pairs with equal keys connect most of a large group; then only what is still apart sends links.
+    """
+    first = connected_components(tied(list(zip(own, plans, strict=True)), bits, "root", flips=False)).withColumnRenamed("root", "c").withColumnRenamed("node", "root")
+    now = [x.join(first, "root", "left").select("fp", F.coalesce("c", "root").alias("c")).distinct() for x in own]
+    then = connected_components(tied(list(zip(now, plans, strict=True)), bits, "c")).select(F.col("node").alias("c"), F.col("root").alias("to"))
+    found = classes.select("root", F.lit(1).alias("n")).groupBy("root").agg(F.count("*").alias("n")).join(first, "root", "left").withColumn("c", F.coalesce("c", "root"))
+    found = found.join(then, "c", "left").select("root", "n", F.coalesce("to", "c").alias("c"))
+    whole = found.groupBy("c").agg(F.sum("n").alias("of"), F.count("*").alias("classes")).filter("classes > 1")
+    return written(found.join(whole, "c").select("root", "c", F.col("of").alias("n")), "clusters")
+
+
+def _near(own: list[DataFrame], plans: list, bits: int, roots: DataFrame) -> DataFrame:
+    """(u, v, of_u, of_v): fingerprints (the first ones) of different classes in ``roots``, and these, of which some of the
+    fingerprints of two texts differ in at most ``bits`` bits."""
+    out = None
+    for x, parts in zip(own, plans, strict=True):
+        found = links(x.join(roots, "root", "left_semi"), bits, parts, "root", "node", "before" if out else None)
+        out = out.unionByName(found) if out else found
     return written(out, "near")
 
 
@@ -343,14 +467,91 @@ def _alike(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return texts.groupBy("of_c", "of_a", "of_b").cogroup(dealt.groupBy("c", "a", "b")).applyInArrow(run, "u long, v long")
 
 
+def _blocks(texts: DataFrame) -> DataFrame:
+    """``texts`` (c, of, fp, prints, set, n) with (a, b, side), once for each group of two blocks of c that a text goes to.
+
+    A class of a block or more has blocks of its own, others share some. Two blocks of one class make no group, nor do
+    those of different c; every other pair of texts meets in one group, as sides 0 and 1, or in a block of its own.
+    """
+    weight = texts.groupBy("c", "of").agg(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES).alias("w"))
+    name = F.when(F.col("w") >= 1, F.col("of").cast("string")).otherwise("")
+    weight = written(weight.select("c", "of", name.alias("name"), "w"), "weights")
+    sizes = written(weight.groupBy("c", "name").agg(F.ceil(F.sum("w")).cast("int").alias("m")), "blocks")
+    every = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.struct("name", i.alias("i")))
+    others = sizes.groupBy("c").agg(F.flatten(F.collect_list(every)).alias("others"))
+    mine = F.struct("name", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int").alias("i"))
+    placed = weight.join(sizes, ["c", "name"]).join(others, "c").select("c", "of", "name", "m", "others")
+    placed = texts.join(placed, ["c", "of"]).withColumn("mine", mine)
+    placed = placed.withColumn("other", F.explode(F.filter("others", lambda x: (x["name"] != F.col("name")) | (F.col("name") == "")))).drop("others")
+    return placed.select("c", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "of", "fp", "prints", "set")
+
+
+def _alike_in(fp: np.ndarray, of: np.ndarray, side: np.ndarray, prints: list, sets: list[np.ndarray], within: bool, bits: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places whose fingerprints are within ``bits`` and whose sets share ``similarity``: they join the same
+    classes (of) as all such pairs of the two sides, or of one if ``within``."""
+    labels = np.unique(of, return_inverse=True)[1]
+    lengths = np.array([len(x) for x in sets])
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(lengths)[:-1])
+    mark = np.zeros(int(max(c.max() for c in codes)) + 1, dtype=bool)
+    # Further fingerprints: places and values, by number.
+    more = []
+    for k in range(len(prints[0][0])):
+        at = [(i, x[k]) for i, xs in enumerate(prints) for x in xs]
+        more.append((np.array([i for i, _ in at]), np.array([x for _, x in at], dtype=np.int64)))
+    out = []
+    for i in np.flatnonzero(side == 0):
+        near = _bits_apart(fp, fp[i]) <= bits
+        for k, (at, values) in enumerate(more):
+            for x in {x[k] for x in prints[i]}:
+                near[at[_bits_apart(values, np.int64(x)) <= bits]] = True
+        near &= (labels != labels[i]) & (np.minimum(lengths, lengths[i]) >= similarity * np.maximum(lengths, lengths[i]))
+        if within:
+            near[: i + 1] = False
+        else:
+            near[side == 0] = False
+        js = np.flatnonzero(near)
+        if not len(js):
+            continue
+        mark[codes[i]] = True
+        shared = np.add.reduceat(mark[np.concatenate([codes[j] for j in js])].astype(np.int64), np.cumsum(lengths[js]) - lengths[js])
+        mark[codes[i]] = False
+        js = js[shared >= similarity * (lengths[i] + lengths[js] - shared)]
+        if len(js):
+            joined, first = np.unique(labels[js], return_index=True)
+            labels[np.isin(labels, joined)] = labels[i]
+            out += [(i, j) for j in js[first]]
+    return out
+
+
+def _alike_large(texts: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Links (u, v) as of :func:`_alike`, for ``texts`` (c, of, fp, prints, set, n); the pairs are searched in the tasks."""
+
+    def run(texts: pa.Table) -> pa.Table:
+        fp, of, side = (texts[n].to_numpy() for n in ("fp", "of", "side"))
+        sets = [s.values.to_numpy() for s in texts["set"]]
+        found = _alike_in(fp, of, side, texts["prints"].to_pylist(), sets, texts["a"][0].as_py() == texts["b"][0].as_py(), bits, similarity)
+        return pa.table({"u": pa.array([fp[i] for i, _ in found], pa.int64()), "v": pa.array([fp[j] for _, j in found], pa.int64())})
+
+    return _blocks(texts).groupBy("c", "a", "b").applyInArrow(run, "u long, v long")
+
+
 def _widened(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, prints: DataFrame, classes: DataFrame, bits: int, of: int, similarity: float, shingle: int) -> DataFrame:
     """The classes after linking what is near by any of ``of`` fingerprints and alike."""
-    near = _near(rows, classes, bits, of)
-    ends = near.select(F.col("u").alias("fp")).distinct().unionByName(near.select(F.col("v").alias("fp")).distinct()).distinct()
-    sets = _sets(docs, id_col, text_col, rows, ends, shingle)
-    within_class = classes.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+    own = _own(rows, classes, of)
+    plans = [plan(x, bits, "root") for x in own]
+    clusters = _clusters(own, plans, classes, bits)
+    near = _near(own, plans, bits, clusters.filter(F.col("n") <= LARGE).select("root"))
+    member = written(classes.join(clusters.filter(F.col("n") > LARGE), "root").select("fp", F.col("root").alias("of"), "c"), "member")
+    ends = [near.select(F.col("u").alias("fp")), near.select(F.col("v").alias("fp")), member.select("fp")]
+    sets = _sets(docs, id_col, text_col, rows, ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct(), shingle)
     # Written: a stage that verifies and makes a forest would hold two Python workers for each core.
-    return _classes(prints, within_class.unionByName(written(_alike(_dealt(near), sets, similarity), "alike")))
+    edges = classes.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(written(_alike(_dealt(near), sets, similarity), "alike"))
+    if member.limit(1).count():
+        more = F.collect_set("more" if of > 1 else F.array().cast("array<long>")).alias("prints")
+        more = rows.join(member.select("fp"), "fp", "left_semi").groupBy("fp").agg(more)
+        texts = written(sets.join(member, "fp").join(more, "fp"), "large")
+        edges = edges.unionByName(written(_alike_large(texts, bits, similarity), "alike"))
+    return _classes(prints, edges)
 
 
 def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
@@ -386,7 +587,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("id", F.col("fps")[0].alias("fp"), F.slice("fps", 2, max(prints - 1, 1)).alias("more"), "text_hash")
     rows = written(rows if prints > 1 else rows.drop("more"), "simhash")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    classes = _classes(distinct, links(distinct, max_bits, plan(distinct, max_bits)))
+    classes = _classes(distinct, tied([(distinct, plan(distinct, max_bits))], max_bits))
     if wide_bits is not None:
         classes = _widened(docs, id_col, text_col, rows, distinct, classes, wide_bits, prints, similarity, verify_shingle)
     return rows.join(classes, "fp").select("id", "fp", "component_id", "root", "text_hash")

@@ -288,6 +288,75 @@ def test_texts_of_a_large_group_are_sent_by_block(spark, monkeypatch):
     assert pairs > 500 and groups_of > 5 and sent <= 10 * texts and sent < pairs and links < pairs / 4
 
 
+def edits_of_one(rng, n):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    first, out = [word() for _ in range(150)], []
+    for _ in range(n):
+        words = list(first)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 5, 7])):
+            words[at] = word()
+        out.append(" ".join(words))
+    return out
+
+
+def rows_made(spark, found):
+    """The most rows that a join of the executed plans of ``found()`` made, and its result."""
+    sql = spark._jsparkSession.sharedState().statusStore()
+    before = sql.executionsCount()
+    out, most = found(), 0
+    runs = sql.executionsList()
+    for e in (runs.apply(k) for k in range(before, runs.size())):
+        values, nodes = sql.executionMetrics(e.executionId()), sql.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()) and "Join" in node.name():
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, out
+
+
+@pytest.mark.parametrize("block", [40, 2048])
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch, block):
+    """Rows joined grow with the texts of a group of near copies, not with their pairs; no link is lost."""
+    monkeypatch.setattr(simhash, "LARGE", 50)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    monkeypatch.setattr(simhash, "AT_ONCE", 100)
+    rng = random.Random(37)
+    texts = [*edits_of_one(rng, 220), *edits_of_one(rng, 160), *edits_of_one(rng, 8)]
+    rows = [*enumerate(texts, 1), (900, texts[3].upper()), (901, texts[3]), (None, texts[7]), (None, None), (902, "")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, DOCS).cache()
+    fps = {f for _, t in rows for f in [simhash.simhashes((t or "").encode(), 3, 2)[0]]}
+    pairs = sum((a ^ b).bit_count() <= 7 for a, b in combinations(fps, 2))
+    most, got = rows_made(spark, lambda: simhash.near_duplicates(df, wide_bits=7, prints=2).collect())
+    want = every_pair(rows, 7, 2)
+    assert sorted(((r.id, r.component_id) for r in got), key=repr) == sorted(((i, c) for (i, _), c in zip(rows, want, strict=True)), key=repr)
+    assert len(set(want)) < len(set(every_pair(rows, 3)))
+    assert pairs > 5000 and 0 < most <= 2 * len(rows)
+
+
+def test_rows_of_a_key_are_tied_in_their_task(spark, monkeypatch):
+    """Links of large and of small keys join the same as all pairs."""
+    for crowd, at_once, thresholds in ((2, 7, (1, 1)), (512, 50, (2, 0)), (3, 1 << 20, (0, 0, 0, 0)), (4, 9, (3, -1))):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+        values, df = prints(spark, random.Random(crowd))
+        m = len(thresholds)
+        parts = [(list(range(i * 64 // m, (i + 1) * 64 // m)), t) for i, t in enumerate(thresholds) if t >= 0]
+        got = groups(values, [(r.u, r.v) for r in simhash.tied([(df, parts)], 3).collect()])
+        assert got == groups(values, slow_links(values, 3)) and len(set(got.values())) < len(values)
+
+
+def test_classes_larger_than_a_block(spark, monkeypatch):
+    """A class of a block or more has blocks of its own; texts outside are compared with all of them."""
+    monkeypatch.setattr(simhash, "LARGE", 20)
+    monkeypatch.setattr(simhash, "SHINGLES", 2000)
+    rows = edits_of_edits()
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), wide_bits=12, prints=2).collect()
+    want = every_pair(rows, 12, 2)
+    assert sorted(((r.id, r.component_id) for r in got), key=repr) == sorted(((i, c) for (i, _), c in zip(rows, want, strict=True)), key=repr)
+
+
 @pytest.mark.parametrize("prints", [2, 3])
 def test_further_fingerprints_add_links(spark, prints):
     """Texts link if any of their fingerprints are near and they are alike."""
