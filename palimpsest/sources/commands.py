@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,31 +35,45 @@ def parse(line: Column) -> Column:
     )
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once a row: the optimizer puts a copy of an expression wherever it is named, but not
+    of a lambda's variable."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def parse_json(line: Column) -> Column:
-    """struct(op, key, value, error) of a request in JSON: {"command": {"Get": k}}, {"Set": [k, v]}, {"Remove": k} or "Exit"."""
-    raw = F.from_json(line, "command string")["command"]
-    c = F.from_json(raw, "Get string, Set array<string>, Remove string")
-    pair = F.size(c["Set"]) == 2
-    op = F.when(raw == "Exit", "exit").when(c["Get"].isNotNull(), "get").when(pair, "set").when(c["Remove"].isNotNull(), "rm")
-    key = F.coalesce(c["Get"], F.when(pair, F.get(c["Set"], 0)), c["Remove"])
-    error = F.when(op.isNull(), F.when(line.isNull() | (F.trim(line) == ""), NO_COMMAND).otherwise(NO_JSON))
-    return F.struct(op.alias("op"), key.alias("key"), F.when(op == "set", F.get(c["Set"], 1)).alias("value"), error.alias("error"))
+    """struct(op, key, value, error) of a request in JSON: {"command": {"Get": k}}, {"Set": [k, v]}, {"Remove": k} or "Exit".
+
+    A line is parsed once, and its command once. Failing to parse takes far longer than parsing, so two sorts aren't tried:
+    lines with neither a closing brace nor a second field, from which nothing can be read, and the command "Exit".
+    """
+
+    def request(raw: Column, c: Column) -> Column:
+        pair = F.size(c["Set"]) == 2
+        op = F.when(raw == "Exit", "exit").when(c["Get"].isNotNull(), "get").when(pair, "set").when(c["Remove"].isNotNull(), "rm")
+        key = F.coalesce(c["Get"], F.when(pair, F.get(c["Set"], 0)), c["Remove"])
+        error = F.when(op.isNull(), F.when(line.isNull() | (F.trim(line) == ""), NO_COMMAND).otherwise(NO_JSON))
+        return F.struct(op.alias("op"), key.alias("key"), F.when(op == "set", F.get(c["Set"], 1)).alias("value"), error.alias("error"))
+
+    parsed = lambda raw: _once(F.from_json(F.when(raw != "Exit", raw), "Get string, Set array<string>, Remove string"), lambda c: request(raw, c))
+    return _once(F.from_json(F.when(F.contains(line, F.lit("}")) | line.like("%:%:%"), line), "command string")["command"], parsed)
 
 
 def _in_order(requests: DataFrame, state: DataFrame, put: Column, delete: Column, span: int) -> DataFrame:
     """Adds ``v``: what a read of the key finds, which is the last write before it, else the snapshot."""
     valid = F.length("key") > 0
     wrote = F.when(put & valid & (F.length("value") > 0), F.struct(F.col("value").alias("v"))).when(delete & valid, F.struct(F.lit(None).cast("string").alias("v")))
-    d = last_before(requests, "key", "seq", wrote, "__wrote", span)
-    d = d.join(state.select(F.col("k").alias("key"), F.col("v").alias("__stored")), "key", "left")
-    return d.withColumn("v", F.when(F.col("__wrote").isNotNull(), F.col("__wrote")["v"]).otherwise(F.col("__stored"))).drop("__wrote", "__stored")
+    stored = state.select(F.col("k").alias("key"), F.struct(F.col("v").alias("v")).alias("v"))
+    d = last_before(requests, "key", "seq", wrote, "__found", span, stored)
+    return d.withColumn("v", F.col("__found")["v"]).drop("__found")
 
 
 def serve(commands: DataFrame, state: DataFrame, span: int = 1 << 16) -> DataFrame:
     """Commands (seq, op, key, value, error) with the answer: the value, 'key not found', 'ok', 'bye' or the error.
 
     Commands take effect in the order of ``seq``, as if each waited for the one before: a get sees the last set or rm of
-    its key before it, else the snapshot ``state`` (k, v). All are answered by one as-of lookup and one left join.
+    its key before it, else the snapshot ``state`` (k, v). All are answered by one as-of lookup
+    that begins with the snapshot.
     """
     op = F.col("op")
     found = _in_order(commands, state, op == "set", op == "rm", span)

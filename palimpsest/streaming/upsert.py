@@ -44,16 +44,21 @@ def serve_stream(lines: DataFrame, store: Store, answers: str, checkpoint: str)
     """Answers a stream of JSON requests (seq, line) from ``store``, applies its writes and ends when all are answered.
 
     Each micro-batch is answered in the order of seq and its writes are one commit with the batch's number. Answers are
-    written to a folder of their own first, so a batch that runs again writes the same answers and commits once.
+    written to a folder of their own first, so a batch that runs again writes the same answers and commits once. The parsed
+    requests are kept while the batch is worked on (in memory and on disk), so a line is read and parsed once.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         if number <= store.state["batch"]:
             return
-        asked = batch.select("seq", commands.parse_json(F.col("line")).alias("c")).select("seq", "c.*")
-        state = store.scan().select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
-        commands.answer_json(commands.serve(asked, state)).write.mode("overwrite").parquet(f"{answers}/batch={number}")
-        ops = commands.mutations(asked)
-        store.write_frame(ops.select("seq", "op", F.encode("k", "UTF-8").alias("k"), F.encode("v", "UTF-8").alias("v")), batch=number)
+        asked = batch.select("seq", commands.parse_json(F.col("line")).alias("c")).select("seq", "c.*").persist()
+        try:
+            asked.count()  # else the stages that read it first, which run side by side, would each parse all lines
+            state = store.scan().select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+            commands.answer_json(commands.serve(asked, state)).write.mode("overwrite").parquet(f"{answers}/batch={number}")
+            ops = commands.mutations(asked)
+            store.write_frame(ops.select("seq", "op", F.encode("k", "UTF-8").alias("k"), F.encode("v", "UTF-8").alias("v")), batch=number)
+        finally:
+            asked.unpersist()
 
     lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars
 from palimpsest.operators import bounds, compaction, merge, occ, probe, resolve, writes
+from palimpsest.operators.asof import last_before
 from palimpsest.operators.bounds import OPEN, excluded, included
 from palimpsest.sources import commands, runs
+from palimpsest.sources.store import Store
+from palimpsest.streaming import upsert
 
 LOG = "k string, ts long, v string"
 
@@ -223,3 +226,50 @@ def test_runs_and_log_replay(spark, tmp_path):
     assert back.count() == 100 and back.filter("length(v) = 100000").count() == 1
     wal = spark.createDataFrame([("a", 1, "x", 1), ("a", 1, "y", 2), ("b", 1, None, 3)], LOG + ", seq int")
     assert sorted(kv(runs.replay_log(wal))) == [("a", "y"), ("b", None)]
+
+
+def test_a_json_request_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"command":{"Get":"a"}}',)], "line string")
+    plan = lines.select(commands.parse_json(F.col("line")).alias("c")).select("c.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
+
+
+def test_json_requests_that_are_cut_off_or_quoted(spark):
+    lines = ['{"command":{"Get":"a"', '{"command":"Exit"', '{"command":"Exit"} x', '{"command":" {\\"Get\\":\\"a\\"}"}', '{"command":" Exit"}', '{"command":{"Set":["a","}"]}', '{"command":{"Set":["}","}"]}}', "  "]
+    got = [tuple(r.c) for r in spark.createDataFrame([(x,) for x in lines], "line string").select(commands.parse_json(F.col("line")).alias("c")).collect()]
+    no = (None, None, None, "not a JSON request")
+    assert got == [no, no, ("exit", None, None, None), ("get", "a", None, None), no, no, ("set", "}", "}", None), (None, None, None, "no command")]
+
+
+@pytest.mark.parametrize("span", [1, 4, 1000])
+def test_last_before_begins_with_what_is_known(spark, span):
+    rng = random.Random(span)
+    given = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, None, f"v{i}"])) for i in range(-30, 60)]
+    now, want = {"a": "0", "c": "1"}, []
+    for i, k, v in given:
+        want.append((i, now.get(k)))
+        if v is not None:
+            now[k] = v
+    rows = spark.createDataFrame(given, "seq long, key string, v string").repartition(5)
+    known = spark.createDataFrame([("a", "0"), ("c", "1"), ("d", "2")], "k string, was string")
+    got = last_before(rows, "key", "seq", F.col("v"), "before", span, known)
+    assert got.columns == ["seq", "key", "v", "before"]
+    assert sorted((r.seq, r.before) for r in got.collect()) == want
+
+
+def test_a_served_stream_reads_each_line_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def line(i):
+        seen.add(1)
+        return ('{"command":{"Set":["a","%d"]}}' if i % 2 else '{"command":{"Get":"a"}}%d') % i
+
+    spark.range(40).repartition(4).write.parquet(str(tmp_path / "in"))
+    asked = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).select(F.col("id").alias("seq"), line("id").alias("line"))
+    store = Store(spark, str(tmp_path / "store"))
+    upsert.serve_stream(asked, store, str(tmp_path / "answers"), str(tmp_path / "checkpoint"))
+    said = {r.seq: r.line for r in spark.read.parquet(str(tmp_path / "answers")).collect()}
+    assert len(said) == 40 and "key not found" in said[0] and all(f'"VString":"{i - 1}"' in said[i] for i in range(2, 40, 2))
+    assert store.get("a") == b"39"
+    assert seen.value == 40
